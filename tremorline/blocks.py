@@ -111,16 +111,24 @@ def running(
     return out.drop(*[f"__{c}" for c in [*sums, *maxima]])
 
 
-def _split_large(df: DataFrame, keys: list[str], by: Column, limit: int) -> tuple[DataFrame, DataFrame]:
+def longest(df: DataFrame, keys: str | Sequence[str] = "id") -> int:
+    """Rows of the largest group: one pre-aggregated pass over the key columns, one number to the driver."""
+    sizes = df.groupBy(*_names(keys)).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _split_large(df: DataFrame, keys: list[str], by: Column, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Add ``__slot``: 0 for ordinary groups, a monotone range of ``by`` for groups above ``limit`` rows.
 
     ``__n`` is the size of a split group, else NULL. Also returns ``(keys, __slot, __before)``: how many rows of a
-    split group lie in lower slots.
+    split group lie in lower slots; None if no group is that large, in which case nothing more is read or joined.
     """
+    if longest(df, keys) <= limit:
+        return df.withColumns({"__slot": F.lit(0).cast("long"), "__n": F.lit(None).cast("long")}), None
     measured = df.withColumn("__by", by.cast("double"))
     large = (
         measured.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__by").alias("__lo"), F.max("__by").alias("__hi"))
+        .agg(F.count("__by").alias("__n"), F.min("__by").alias("__lo"), F.max("__by").alias("__hi"))
         .filter((F.col("__n") > limit) & (F.col("__hi") > F.col("__lo")))
         .withColumn("__parts", F.ceil(F.col("__n") / limit) * PARTS_PER_SPLIT)
     )
@@ -150,12 +158,12 @@ def number_rows(
     keys = _names(keys)
     slotted, offsets = _split_large(df, keys, by, limit or SPLIT_ROWS)
     order = Window.partitionBy(*keys, "__slot").orderBy(by, *ties)
-    return (
-        slotted.withColumn(name, F.row_number().over(order) - 1)
-        .join(offsets, [*keys, "__slot"], "left")
-        .withColumn(name, F.col(name) + F.coalesce(F.col("__before"), F.lit(0)))
-        .drop("__slot", "__before", "__n")
-    )
+    out = slotted.withColumn(name, F.row_number().over(order) - 1)
+    if offsets is not None:
+        out = out.join(offsets, [*keys, "__slot"], "left").withColumn(
+            name, F.col(name) + F.coalesce(F.col("__before"), F.lit(0))
+        )
+    return out.drop("__slot", "__before", "__n")
 
 
 def quantile_position(q: float, n: Column) -> Column:
@@ -173,18 +181,25 @@ def exact_quantiles(
     """
     keys = _names(keys)
     limit = limit or SPLIT_ROWS
-    values = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    values = df.select(*keys, F.col(value).cast("double").alias("__v"))
     slotted, offsets = _split_large(values, keys, F.col("__v"), limit)
-    counted = slotted.groupBy(*keys, "__slot", "__v", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    slotted = slotted.filter(F.col("__v").isNotNull())
+    if offsets is None:
+        counted = slotted.withColumn("__c", F.lit(1))
+    else:
+        counted = slotted.groupBy(*keys, "__slot", "__v", "__n").agg(F.count(F.lit(1)).alias("__c"))
     group = Window.partitionBy(*keys, "__slot")
     run = group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counted.withColumn("__end", F.sum("__c").over(run))
-        .withColumn("__n", F.coalesce(F.col("__n"), F.sum("__c").over(group)))
-        .join(offsets, [*keys, "__slot"], "left")
-        .withColumn("__end", F.col("__end") + F.coalesce(F.col("__before"), F.lit(0)))
-        .withColumn("__start", F.col("__end") - F.col("__c"))
-    )
+    ranked = counted.withColumn("__end", F.sum("__c").over(run))
+    if offsets is None:
+        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(group))
+    else:
+        ranked = (
+            ranked.withColumn("__n", F.coalesce(F.col("__n"), F.sum("__c").over(group)))
+            .join(offsets, [*keys, "__slot"], "left")
+            .withColumn("__end", F.col("__end") + F.coalesce(F.col("__before"), F.lit(0)))
+        )
+    ranked = ranked.withColumn("__start", F.col("__end") - F.col("__c"))
     picks = []
     for i, q in enumerate(wanted.values()):
         pos = quantile_position(q, F.col("__n"))

@@ -63,13 +63,14 @@ def _trend(attr: str, y: Column, x: Column) -> Column:
     """Least-squares line through (x, y); a constant side has correlation 0."""
     m = F.count(y)
     syy, sxx = F.regr_syy(y, x), F.regr_sxx(y, x)
-    r = F.when((syy == 0) | (sxx == 0), 0.0).otherwise(F.corr(y, x))
+    r = F.coalesce(F.try_divide(F.regr_sxy(y, x), F.sqrt(sxx * syy)), F.lit(0.0))
     if attr == "rvalue":
         return r
+    slope = F.try_divide(F.regr_sxy(y, x), sxx)
     if attr == "slope":
-        return F.regr_slope(y, x)
+        return slope
     if attr == "intercept":
-        return F.regr_intercept(y, x)
+        return F.avg(y) - slope * F.avg(x)
     return F.when(m == 2, 0.0).otherwise(F.sqrt(F.greatest(1 - r * r, F.lit(0.0)) * F.try_divide(syy, sxx * (m - 2))))
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorline.blocks import longest
 from tremorline.operators.longdft import long_half_spectrum
 
 # Series below this length are transformed as one array (8 MB); longer ones take the distributed transform.
@@ -50,9 +51,14 @@ def _array_spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def half_spectrum(df: DataFrame, pos: str, value: str, array_rows: int | None = None) -> DataFrame:
-    """|DFT| of every series: (id, k, n, a) for k = 0 .. n div 2, unscaled. ``pos`` must be dense."""
+    """|DFT| of every series: (id, k, n, a) for k = 0 .. n div 2, unscaled. ``pos`` must be dense.
+
+    The distributed transform is planned only if a series is too long for an array.
+    """
     rows = array_rows or ARRAY_ROWS
     parts = sample_arrays(df, pos, value, rows)
+    if longest(df) < rows:
+        return parts.select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")
     whole = (F.col("part") == 0) & (F.size("samples") < rows)
     short = parts.filter(whole).select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")
     long = parts.filter(~whole).select("id", F.inline("samples"))

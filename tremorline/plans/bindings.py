@@ -53,12 +53,17 @@ NORM = """norm AS (
          / nullif(max(signal_raw) OVER (PARTITION BY id) - min(signal_raw) OVER (PARTITION BY id), 0) AS signal_raw
   FROM sig)"""
 
-CHANNELS = f"""{SIG}, {NORM}, chan AS (
+
+
+def channels_sql(mean_window: int = 128) -> str:
+    """sig, norm and chan (id, time, signal_raw, signal_std, signal_mean) as common table expressions."""
+    after = (mean_window - 1) // 2
+    return f"""{SIG}, {NORM}, chan AS (
   SELECT id, time, signal_raw,
          stddev_samp(signal_raw) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN 16 PRECEDING AND 15 FOLLOWING)
            AS signal_std,
-         avg(signal_raw) OVER (PARTITION BY id ORDER BY time ROWS BETWEEN 64 PRECEDING AND 63 FOLLOWING)
-           AS signal_mean
+         avg(signal_raw) OVER (PARTITION BY id ORDER BY time
+                               ROWS BETWEEN {mean_window - 1 - after} PRECEDING AND {after} FOLLOWING) AS signal_mean
   FROM norm)"""
 
 

@@ -17,9 +17,12 @@ from tremorline.plans.signal_queries import DFT
 
 S, M, SPEC = "signal_std", "signal_mean", "signal_binned_fft"
 BINS = 70
+# the test series are shorter than the usual window of 128, over which their mean would be constant
+MEAN_WINDOW = 16
+TIME = TimePreprocessing(mean_window=MEAN_WINDOW)
 
 # ordered channels of the check SQL: `ch` has (id, pos, signal_std, signal_mean), `sp` has (id, pos, signal_binned_fft)
-TIME_CTE = f"""{b.CHANNELS}, ch AS (
+TIME_CTE = f"""{b.channels_sql(MEAN_WINDOW)}, ch AS (
   SELECT id, CAST(time AS BIGINT) AS pos, signal_std, signal_mean, count(*) OVER (PARTITION BY id) AS n FROM chan)"""
 FREQ_CTE = f"""{b.SIG}, {DFT.format(x='signal_raw', src='sig')}, binned AS (
   SELECT id, CAST(floor(round({BINS} * ln(k) / ln(n // 2), 9)) AS BIGINT) AS bin, 2.0 / n * a AS amplitude
@@ -34,7 +37,7 @@ def source(spark, sf, channel: str):
     sig = b.signal(spark, sf)
     if channel == SPEC:
         return table_source(FreqPreprocessing(n_bins=BINS, fs=1000).transform(sig), "freq_num", SPEC)
-    return time_source(sig, TimePreprocessing())
+    return time_source(sig, TIME)
 
 
 def long_rows(wide):
@@ -236,7 +239,7 @@ def _pattern(f: Feature, x: str) -> str:
     w = f"list({x}) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {d - 1} FOLLOWING)"
     return (
         f"CASE WHEN pos + {d} <= n THEN list_transform(list_sort(list_transform({w},"
-        f" (v, j) -> {{'v': v, 'j': j}})), s -> s.j)::VARCHAR END"
+        f" lambda v, j: {{'v': v, 'j': j}})), lambda s: s.j)::VARCHAR END"
     )
 
 
@@ -471,7 +474,7 @@ def _wide(features: list[Feature], src: str) -> str:
 
 @query("extract_features", unpivot(TIME_CTE, _wide(_SIMPLE_TIME, "ch"), _SIMPLE_TIME))
 def extract_features(spark, sf):
-    channels = TimePreprocessing().transform(b.signal(spark, sf))
+    channels = TIME.transform(b.signal(spark, sf))
     return long_rows(extract.extract_features(channels, "time", _SIMPLE_TIME, keep=False))
 
 
@@ -483,7 +486,7 @@ def extract_features(spark, sf):
 ))
 def feature_union(spark, sf):
     sig = b.signal(spark, sf)
-    channels = TimePreprocessing().transform(sig)
+    channels = TIME.transform(sig)
     spec = FreqPreprocessing(n_bins=BINS, fs=1000).transform(sig)
     return long_rows(
         extract.feature_union(
@@ -508,4 +511,4 @@ def sort_columns(spark, sf):
 @query("feature_long")
 def feature_long(spark, sf):
     """All 100 features of every series as rows."""
-    return long_rows(extract.all_features(b.signal(spark, sf)))
+    return long_rows(extract.all_features(b.signal(spark, sf), TIME))

@@ -137,11 +137,11 @@ SELECT id, time, signal_raw, round(avg(signal_raw)
   OVER (PARTITION BY id ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS mean_5, round(avg(signal_raw)
   OVER (PARTITION BY id ORDER BY time ROWS BETWEEN 64 PRECEDING AND 63 FOLLOWING), 9) AS signal_mean FROM sig""")
 def rolling_mean(spark, sf):
-    short = preprocess.rolling_mean(b.signal(spark, sf), 5).withColumnRenamed("signal_mean", "mean_5", digits=9)
+    short = preprocess.rolling_mean(b.signal(spark, sf), 5).withColumnRenamed("signal_mean", "mean_5")
     return b.rounded(preprocess.rolling_mean(short), "signal_mean", "mean_5", digits=9)
 
 
-@query("time_channels", f"""WITH {b.CHANNELS}
+@query("time_channels", f"""WITH {b.channels_sql()}
 SELECT id, time, round(signal_raw, 6) AS signal_raw, round(signal_std, 6) AS signal_std,
        round(signal_mean, 6) AS signal_mean FROM chan""")
 def time_channels(spark, sf):
