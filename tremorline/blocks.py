@@ -213,3 +213,50 @@ def exact_quantiles(
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return found.select(*keys, *out)
+
+
+def dense_ids(ids: DataFrame, name: str = "id", out: str = "new_id") -> DataFrame:
+    """(id, new_id): distinct whole numbers renumbered 0, 1, ... in their order.
+
+    Ranges of BLOCK_ROWS numbers are numbered on their own and shifted by the counts of the ranges below, which are
+    again summed range by range.
+    """
+    ids = ids.select(name).distinct().withColumn("block", block_of(name))
+    counts = ids.groupBy("block").agg(F.count(F.lit(1)).alias("__c")).withColumn("__all", F.lit(0))
+    upper = counts.withColumn("__up", block_of("block")).groupBy("__all", "__up").agg(F.sum("__c").alias("__c"))
+    earlier = Window.partitionBy("__all").orderBy("__up").rowsBetween(Window.unboundedPreceding, -1)
+    shift = upper.select("__up", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__shift"))
+    inner = Window.partitionBy("__up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        counts.withColumn("__up", block_of("block"))
+        .withColumn("__before", F.coalesce(F.sum("__c").over(inner), F.lit(0)))
+        .join(shift, "__up")
+        .select("block", (F.col("__before") + F.col("__shift")).alias("__before"))
+    )
+    order = Window.partitionBy("block").orderBy(name)
+    return (
+        ids.withColumn(out, F.row_number().over(order) - 1)
+        .join(offsets, "block")
+        .select(name, (F.col(out) + F.col("__before")).alias(out))
+    )
+
+
+def shuffled_rank(ids: DataFrame, seed: int, name: str = "id", out: str = "rank") -> DataFrame:
+    """(id, rank, n): ranks 0..n-1 in a random but repeatable order, by the MD5 of ``id:seed``.
+
+    The first four hex digits of the hash cut the ids into 65 536 even parts that are ranked separately.
+    """
+    hashed = ids.select(name).distinct().withColumn("__h", F.md5(F.concat_ws(":", F.col(name), F.lit(seed)).cast("binary")))
+    hashed = hashed.withColumn("__p", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    counts = hashed.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__all", F.lit(0))
+    whole = Window.partitionBy("__all")  # at most 65 536 rows
+    earlier = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "__p", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"), F.sum("__c").over(whole).alias("n")
+    )
+    order = Window.partitionBy("__p").orderBy("__h", name)
+    return (
+        hashed.withColumn(out, F.row_number().over(order) - 1)
+        .join(F.broadcast(offsets), "__p")  # at most 65 536 rows
+        .select(name, (F.col(out) + F.col("__before")).alias(out), "n")
+    )
