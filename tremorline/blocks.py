@@ -117,13 +117,15 @@ def longest(df: DataFrame, keys: str | Sequence[str] = "id") -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def _split_large(df: DataFrame, keys: list[str], by: Column, limit: int) -> tuple[DataFrame, DataFrame | None]:
+def _split_large(
+    df: DataFrame, keys: list[str], by: Column, limit: int, largest: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Add ``__slot``: 0 for ordinary groups, a monotone range of ``by`` for groups above ``limit`` rows.
 
     ``__n`` is the size of a split group, else NULL. Also returns ``(keys, __slot, __before)``: how many rows of a
     split group lie in lower slots; None if no group is that large, in which case nothing more is read or joined.
     """
-    if longest(df, keys) <= limit:
+    if (longest(df, keys) if largest is None else largest) <= limit:
         return df.withColumns({"__slot": F.lit(0).cast("long"), "__n": F.lit(None).cast("long")}), None
     measured = df.withColumn("__by", by.cast("double"))
     large = (
@@ -172,9 +174,14 @@ def quantile_position(q: float, n: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: str | Sequence[str], value: str, wanted: dict[str, float], limit: int | None = None
+    df: DataFrame,
+    keys: str | Sequence[str],
+    value: str,
+    wanted: dict[str, float],
+    limit: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles ``{name: q}`` of ``value`` per key.
+    """Linear-interpolated quantiles ``{name: q}`` of ``value`` per key; ``largest`` = rows of the largest group.
 
     The needed ranks are picked from sorted ``(key, slot)`` groups; nothing is gathered per key. Equal values of split
     groups are counted before the shuffle, so one value that fills a series does no harm.
@@ -182,7 +189,7 @@ def exact_quantiles(
     keys = _names(keys)
     limit = limit or SPLIT_ROWS
     values = df.select(*keys, F.col(value).cast("double").alias("__v"))
-    slotted, offsets = _split_large(values, keys, F.col("__v"), limit)
+    slotted, offsets = _split_large(values, keys, F.col("__v"), limit, largest)
     slotted = slotted.filter(F.col("__v").isNotNull())
     if offsets is None:
         counted = slotted.withColumn("__c", F.lit(1))

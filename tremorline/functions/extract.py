@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,31 +30,43 @@ _TOGETHER = {
 }
 
 
-def compute(src: Source, features: list[Feature]) -> DataFrame:
-    """Wide table (id, one column per feature, named by ``Feature.name``)."""
-    passes: dict = {}
-    for f in features:
-        if f.function not in _TOGETHER and f.function not in ROWWISE:
-            raise ValueError(f"unknown feature {f.function}")
-        passes.setdefault(_TOGETHER.get(f.function, rowwise_features), []).append(f)
-    out = None
-    for run, members in passes.items():
-        part = run(src, members)
-        part = part.select("id", *[F.col(f"f{i}").alias(f.name) for i, f in enumerate(members)])
-        out = part if out is None else out.join(part, "id", "outer")
-    return out
-
-
-def extract_features(channels: DataFrame, pos: str, features: list[Feature], keep: bool = True) -> DataFrame:
-    """Features of the channels of a long frame, columns in alphabetical order.
+def compute(*parts: tuple[Source, list[Feature]]) -> DataFrame:
+    """Wide table (id, one column per feature, named by ``Feature.name``) of the series that all sources have.
 
-    The frame feeds several passes; with ``keep`` it is written once to the shared folder instead of being recomputed.
+    Each pass gives one array of values per series; the arrays are stacked and gathered by id once, instead of joining
+    the passes one after another.
     """
+    stacked, columns, needed = None, [], []
+    for src, features in parts:
+        passes: dict = {}
+        for f in features:
+            if f.function not in _TOGETHER and f.function not in ROWWISE:
+                raise ValueError(f"unknown feature {f.function}")
+            passes.setdefault(_TOGETHER.get(f.function, rowwise_features), []).append(f)
+        for run, members in passes.items():
+            no = len({p for p, _, _ in columns})
+            values = F.array(*[F.col(f"f{i}").cast("double") for i in range(len(members))])
+            part = run(src, members).select("id", F.struct(F.lit(no).alias("key"), values.alias("value")).alias("part"))
+            stacked = part if stacked is None else stacked.union(part)
+            columns += [(no, i, f) for i, f in enumerate(members)]
+        needed.append([p for p, _, f in columns if f in features])
+    gathered = stacked.groupBy("id").agg(F.map_from_entries(F.collect_list("part")).alias("m"))
+    for passes in needed:
+        gathered = gathered.filter(reduce(lambda a, c: a | c, [F.map_contains_key("m", p) for p in sorted(set(passes))]))
+    ordered = sorted(columns, key=lambda c: c[2].name)
+    return gathered.select("id", *[F.col("m")[F.lit(p)][i].alias(f.name) for p, i, f in ordered])
+
+
+def _source(frame: DataFrame, pos: str, features: list[Feature], keep: bool) -> tuple[Source, list[Feature]]:
+    """The channels the features need; with ``keep`` written once to the shared folder, as several passes read them."""
     used = list(dict.fromkeys(f.channel for f in features))
-    frame = channels.select("id", pos, *used)
-    if keep:
-        frame = materialize(frame, "channels")
-    return sort_columns(compute(table_source(frame, pos, *used), features))
+    frame = frame.select("id", pos, *used)
+    return table_source(materialize(frame, "channels") if keep else frame, pos, *used), features
+
+
+def extract_features(channels: DataFrame, pos: str, features: list[Feature], keep: bool = True) -> DataFrame:
+    """Features of the channels of a long frame, columns in alphabetical order."""
+    return compute(_source(channels, pos, features, keep))
 
 
 def time_features(sig: DataFrame, prep: TimePreprocessing | None = None) -> DataFrame:
@@ -79,7 +93,11 @@ def all_features(
     sig: DataFrame, time: TimePreprocessing | None = None, freq: FreqPreprocessing | None = None
 ) -> DataFrame:
     """The feature table of the classifiers: 74 time-domain and 26 frequency-domain columns."""
-    return feature_union(time_features(sig, time), freq_features(sig, freq))
+    channels = (time or TimePreprocessing()).transform(sig)
+    spectrum = (freq or FreqPreprocessing()).transform(sig)
+    return compute(
+        _source(channels, "time", listed(TIME_FEATURES), True), _source(spectrum, "freq_num", listed(FREQ_FEATURES), True)
+    )
 
 
 def to_long(wide: DataFrame) -> DataFrame:

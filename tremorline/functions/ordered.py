@@ -17,14 +17,11 @@ def _named(features: list[Feature], columns: list[Column]) -> list[Column]:
 # --- permutation entropy -------------------------------------------------------------------------------------------
 
 
-def _order_code(values: list[Column]) -> Column:
+def _order_code(names: list[str]) -> Column:
     """A number that is the same for windows of the same rank order; one bit per pair, equal values by position."""
-    code, bit = F.lit(0).cast("long"), 0
-    for i in range(1, len(values)):
-        for j in range(i):
-            code = code + F.when(values[j] <= values[i], F.lit(1 << bit)).otherwise(0).cast("long")
-            bit += 1
-    return F.when(values[-1].isNotNull(), code)
+    pairs = [(names[j], names[i]) for i in range(1, len(names)) for j in range(i)]
+    bits = [f"IF(`{a}` <= `{b}`, {1 << k}L, 0L)" for k, (a, b) in enumerate(pairs)]
+    return F.expr(f"IF(`{names[-1]}` IS NOT NULL, {' + '.join(bits)}, NULL)")
 
 
 def permutation_entropy(src: Source, features: list[Feature]) -> DataFrame:
@@ -39,7 +36,7 @@ def permutation_entropy(src: Source, features: list[Feature]) -> DataFrame:
         "pos",
     )
     codes = F.array(
-        *[_order_code([F.col(f"{f.channel}@{j * f['tau']}") for j in range(f["dimension"])]) for f in features]
+        *[_order_code([f"{f.channel}@{j * f['tau']}" for j in range(f["dimension"])]) for f in features]
     )
     counts = (
         rows.select("id", F.posexplode(codes).alias("i", "code"))
@@ -103,7 +100,7 @@ def quantiles(src: Source, features: list[Feature]) -> DataFrame:
         wanted = {
             f"f{i}": (0.5 if f.function == "median" else f["q"]) for i, f in enumerate(features) if f.channel == channel
         }
-        one = exact_quantiles(rows, "id", channel, wanted)
+        one = exact_quantiles(rows, "id", channel, wanted, largest=src.largest)
         out = one if out is None else out.join(one, "id", "outer")
     return out
 

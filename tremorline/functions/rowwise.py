@@ -28,6 +28,7 @@ class Scope:
         self.peaks: set[int] = set()
         self.stats: set[str] = set()
         self.quantiles: set[float] = set()
+        self.prepared: dict[str, Column] = {}
 
     def at(self, offset: int) -> Column:
         self.offsets.add(offset)
@@ -45,6 +46,11 @@ class Scope:
         self.quantiles.add(q)
         return F.col(f"{self.channel}@q{q}".replace(".", "_"))
 
+    def prepare(self, name: str, value: Column) -> Column:
+        """A value of the row that several aggregates read, computed once."""
+        self.prepared[f"{self.channel}@{name}"] = value
+        return F.col(f"{self.channel}@{name}")
+
 
 ROWWISE: dict[str, Callable[..., Column]] = {}
 
@@ -120,14 +126,15 @@ def range_count(s, min, max):
 @rowwise
 def benford_correlation(s):
     """Correlation of the shares of first significant digits with Benford's law."""
-    digit = F.regexp_extract(F.abs(s.x).cast("string"), "[1-9]", 0)
+    s.prepare("digit", F.regexp_extract(F.abs(s.x).cast("string"), "[1-9]", 0))
     law = [math.log10(1 + 1 / d) for d in range(1, 10)]
-    share = [F.count_if(digit == str(d)) / F.count(s.x) for d in range(1, 10)]
     law_mean = sum(law) / 9
-    mean = sum(share, F.lit(0.0)) / 9
-    cov = sum(((p - mean) * (w - law_mean) for p, w in zip(share, law)), F.lit(0.0))
-    var = sum(((p - mean) * (p - mean) for p in share), F.lit(0.0))
-    return F.try_divide(cov, F.sqrt(var * sum((w - law_mean) ** 2 for w in law)))
+    spread = sum((w - law_mean) ** 2 for w in law)
+    hits = [f"count_if(`{s.channel}@digit` = '{d}')" for d in range(1, 10)]
+    # shares differ from counts by a factor, which a correlation does not see
+    total, squares = " + ".join(hits), " + ".join(f"{h} * {h}" for h in hits)
+    cov = " + ".join(f"{h} * {w - law_mean!r}D" for h, w in zip(hits, law))
+    return F.expr(f"try_divide({cov}, sqrt(({squares} - ({total}) * ({total}) / 9D) * {spread!r}D))")
 
 
 @rowwise
@@ -193,13 +200,10 @@ def ratio_beyond_r_sigma(s, r):
 def binned_entropy(s, max_bins):
     """Entropy of an equal-width histogram whose last bin is closed."""
     place = F.floor(F.try_divide(s.x - s.stat("lo"), s.stat("hi") - s.stat("lo")) * max_bins)
-    slot = F.coalesce(F.least(place, F.lit(max_bins - 1)), F.lit(0))
-    total = F.count(s.x)
-    out = F.lit(0.0)
-    for i in range(max_bins):
-        p = F.count_if(slot == i) / total
-        out = out - F.when(p > 0, p * F.log(p)).otherwise(0.0)
-    return out
+    s.prepare(f"bin{max_bins}", F.coalesce(F.least(place, F.lit(max_bins - 1)), F.lit(0)).cast("int"))
+    counts = [f"count_if(`{s.channel}@bin{max_bins}` = {i})" for i in range(max_bins)]
+    weighted = " + ".join(f"{c} * ln(greatest({c}, 1))" for c in counts)
+    return F.expr(f"ln(count(`{s.channel}`)) - ({weighted}) / count(`{s.channel}`)")
 
 
 @rowwise
@@ -257,9 +261,10 @@ def rowwise_features(src: Source, features: list[Feature]) -> DataFrame:
         for s in used:
             if s.quantiles:
                 wanted = {f"{s.channel}@q{q}".replace(".", "_"): q for q in sorted(s.quantiles)}
-                stats = stats.join(exact_quantiles(plain, "id", s.channel, wanted), "id", "left")
+                stats = stats.join(exact_quantiles(plain, "id", s.channel, wanted, largest=src.largest), "id", "left")
         rows = attach(rows, stats, "id")
 
+    rows = rows.withColumns({name: c for s in used for name, c in s.prepared.items()})
     # a channel with undefined values (constant series) has no features
     whole = {s.channel: F.count(s.x) == F.count(F.lit(1)) for s in used}
     aggs = [F.when(whole[f.channel], c).cast("double").alias(f"f{i}") for i, (f, c) in enumerate(zip(features, built))]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.blocks import core, with_halo
+from tremorline.blocks import core, longest, with_halo
 from tremorline.operators.preprocess import TimePreprocessing
 
 
@@ -16,11 +17,18 @@ from tremorline.operators.preprocess import TimePreprocessing
 class Source:
     """Rows (id, pos, channels...); ``pos`` runs 0, 1, ... in every series.
 
-    ``framed(back, ahead)`` gives the rows with ``block`` and their neighbours, partitioned by (id, block).
+    ``framed(back, ahead)`` gives the rows with ``block`` and their neighbours, partitioned by (id, block); ``ids`` has
+    the id of every row.
     """
 
     framed: Callable[[int, int], DataFrame]
     channels: tuple[str, ...]
+    ids: DataFrame
+
+    @cached_property
+    def largest(self) -> int:
+        """Rows of the longest series."""
+        return longest(self.ids)
 
     def rows(self) -> DataFrame:
         return core(self.framed(0, 0), "pos").select("id", "pos", "block", *self.channels)
@@ -28,7 +36,7 @@ class Source:
 
 def table_source(df: DataFrame, pos: str, *channels: str) -> Source:
     plain = df.select("id", F.col(pos).cast("long").alias("pos"), *channels)
-    return Source(lambda back, ahead: with_halo(plain, "id", "pos", back, ahead), channels)
+    return Source(lambda back, ahead: with_halo(plain, "id", "pos", back, ahead), channels, plain.select("id"))
 
 
 def time_source(sig: DataFrame, prep: TimePreprocessing) -> Source:
@@ -38,4 +46,4 @@ def time_source(sig: DataFrame, prep: TimePreprocessing) -> Source:
         out = prep.framed(sig, back, ahead)
         return out.select("id", F.col("time").cast("long").alias("pos"), "block", "signal_std", "signal_mean")
 
-    return Source(framed, ("signal_std", "signal_mean"))
+    return Source(framed, ("signal_std", "signal_mean"), sig.select("id"))

@@ -20,7 +20,7 @@ def fft_aggregated(src: Source, features: list[Feature]) -> DataFrame:
     """Centroid and variance of the frequency number, weighted by |DFT| (constant part included)."""
     rows, out = src.rows(), None
     for channel in dict.fromkeys(f.channel for f in features):
-        spec = half_spectrum(rows.filter(F.col(channel).isNotNull()), "pos", channel)
+        spec = half_spectrum(rows.filter(F.col(channel).isNotNull()), "pos", channel, largest=src.largest)
         a, k = F.col("a"), F.col("k")
         mass = F.sum(a)
         first, second = F.try_divide(F.sum(k * a), mass), F.try_divide(F.sum(k * k * a), mass)

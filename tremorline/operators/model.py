@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -39,10 +39,11 @@ def feature_names(df: DataFrame) -> list[str]:
 
 def _pipeline(train: DataFrame, forest: RandomForestClassifier) -> Pipeline:
     names = feature_names(train)
-    filled = [f"{c}_filled" for c in names]
+    # forests take no missing values; an undefined feature (constant or very short series) counts as 0
+    filled = ", ".join(f"coalesce({c}, 0D) AS {c}_filled" for c in names)
     return Pipeline(stages=[
-        Imputer(inputCols=names, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features"),
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"{c}_filled" for c in names], outputCol="features"),
         StringIndexer(inputCol="label", outputCol="class_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
         forest,
     ])

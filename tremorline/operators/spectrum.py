@@ -50,14 +50,17 @@ def _array_spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             })
 
 
-def half_spectrum(df: DataFrame, pos: str, value: str, array_rows: int | None = None) -> DataFrame:
+def half_spectrum(
+    df: DataFrame, pos: str, value: str, array_rows: int | None = None, largest: int | None = None
+) -> DataFrame:
     """|DFT| of every series: (id, k, n, a) for k = 0 .. n div 2, unscaled. ``pos`` must be dense.
 
-    The distributed transform is planned only if a series is too long for an array.
+    The distributed transform is planned only if a series (``largest`` = rows of the longest one) is too long for an
+    array.
     """
     rows = array_rows or ARRAY_ROWS
     parts = sample_arrays(df, pos, value, rows)
-    if longest(df) < rows:
+    if (longest(df) if largest is None else largest) < rows:
         return parts.select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")
     whole = (F.col("part") == 0) & (F.size("samples") < rows)
     short = parts.filter(whole).select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")

@@ -66,7 +66,7 @@ def register(name: str, features: list[Feature], expr=None, frm: str = "{src}",
         sql = unpivot(base + (", " + ctes if ctes else ""), wide, features)
 
     def run(spark, sf):
-        return long_rows(extract.compute(source(spark, sf, features[0].channel), features))
+        return long_rows(extract.compute((source(spark, sf, features[0].channel), features)))
 
     query(name, sql)(run)
 
@@ -500,8 +500,8 @@ def feature_union(spark, sf):
 SELECT id, 1 AS place_1, 2 AS place_2, round(min({S}), 6) AS a_min, round(sum({S}), 6) AS b_sum FROM ch GROUP BY id""")
 def sort_columns(spark, sf):
     src = source(spark, sf, S)
-    wide = extract.compute(src, [feature(S, "sum_values"), feature(S, "minimum")])
-    wide = wide.toDF("id", "b_sum", "a_min")
+    wide = extract.compute((src, [feature(S, "sum_values"), feature(S, "minimum")]))
+    wide = wide.toDF("id", "a_min", "b_sum").select("id", "b_sum", "a_min")
     out = extract.sort_columns(wide)
     places = {c: i for i, c in enumerate(out.columns)}
     out = out.withColumns({"place_1": F.lit(places["a_min"]), "place_2": F.lit(places["b_sum"])})

@@ -42,7 +42,7 @@ def train_tuned_rf(spark, sf):
 @query("search_params")
 def search_params(spark, sf):
     """Score of every tried combination."""
-    _, results = model.search_params(training(spark, sf), {"maxDepth": [3, 6], "numTrees": [5]}, seed=1)
+    _, results = model.search_params(training(spark, sf), {"maxDepth": [2, 4], "numTrees": [3]}, seed=1)
     return spark.createDataFrame([(r["maxDepth"], r["numTrees"], r["score"]) for r in results], "depth int, trees int, score double")
 
 

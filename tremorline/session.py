@@ -35,6 +35,8 @@ def local_session(app: str = "tremorline", cpus: int | str = "*", **conf: str) -
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.showConsoleProgress", "false")
+        # recording the call site of every column expression doubles the time to build long plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
