@@ -55,15 +55,17 @@ def test_autoregression(source, series, monkeypatch, rows):
 
 
 def test_half_spectrum_long_and_short(source, series):
-    rows = source().rows()
+    rows = source().rows
     for limit in (1 << 20, 100):
         got = half_spectrum(rows, "pos", "x", limit).toPandas().sort_values(["id", "k"])
         for i, x in series.items():
             np.testing.assert_allclose(got[got["id"] == i]["a"], np.abs(np.fft.rfft(x)), atol=1e-7)
 
 
-def test_welch_density_of_several_segments(source, series):
-    got = spectral.welch_density(source().rows(), "x").toPandas().sort_values("k")
+@pytest.mark.parametrize("rows", [256, 1 << 16])
+def test_welch_density_of_several_segments(source, series, monkeypatch, rows):
+    monkeypatch.setattr("tremorline.blocks.BLOCK_ROWS", rows)
+    got = spectral.welch_density(source(), "x").toPandas().sort_values("k")
     for i in (0, 1, 3):
         x = series[i]
         size = min(len(x), 256)

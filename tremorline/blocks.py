@@ -62,6 +62,12 @@ def core(df: DataFrame, pos: str, rows: int | None = None) -> DataFrame:
     return df.filter(F.col("block") == block_of(pos, rows))
 
 
+def trim(df: DataFrame, pos: str, back: int, ahead: int, rows: int | None = None) -> DataFrame:
+    """Keep only ``back``/``ahead`` of the neighbouring rows of every block."""
+    start = F.col("block") * (rows or BLOCK_ROWS)
+    return df.filter((F.col(pos) >= start - back) & (F.col(pos) < start + (rows or BLOCK_ROWS) + ahead))
+
+
 def per_block(stats: DataFrame, n: str = "n", rows: int | None = None) -> DataFrame:
     """Repeat the one row a series has in ``stats`` for each of its blocks (``n`` = rows of the series)."""
     last = block_of(F.greatest(F.col(n) - 1, F.lit(0)), rows)
@@ -125,8 +131,12 @@ def _split_large(
     ``__n`` is the size of a split group, else NULL. Also returns ``(keys, __slot, __before)``: how many rows of a
     split group lie in lower slots; None if no group is that large, in which case nothing more is read or joined.
     """
-    if (longest(df, keys) if largest is None else largest) <= limit:
-        return df.withColumns({"__slot": F.lit(0).cast("long"), "__n": F.lit(None).cast("long")}), None
+    largest = longest(df, keys) if largest is None else largest
+    if largest <= limit:
+        # series of a single block may be read from a table that is bucketed by (key, block): keep that as the group
+        single = "block" in df.columns and largest <= BLOCK_ROWS
+        slot = F.col("block") if single else F.lit(0).cast("long")
+        return df.withColumns({"__slot": slot, "__n": F.lit(None).cast("long")}), None
     measured = df.withColumn("__by", by.cast("double"))
     large = (
         measured.groupBy(*keys)
@@ -188,7 +198,8 @@ def exact_quantiles(
     """
     keys = _names(keys)
     limit = limit or SPLIT_ROWS
-    values = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    kept = [*keys, "block"] if "block" in df.columns else keys
+    values = df.select(*kept, F.col(value).cast("double").alias("__v"))
     slotted, offsets = _split_large(values, keys, F.col("__v"), limit, largest)
     slotted = slotted.filter(F.col("__v").isNotNull())
     if offsets is None:

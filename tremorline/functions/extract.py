@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from tremorline.functions import ordered, sequential, spectral
 from tremorline.functions.catalog import FREQ_FEATURES, TIME_FEATURES, Feature, listed
 from tremorline.functions.rowwise import ROWWISE, rowwise_features
-from tremorline.functions.source import Source, table_source
+from tremorline.functions.source import Source, stored_table, stored_time, table_source
 from tremorline.operators.preprocess import TimePreprocessing
 from tremorline.operators.spectrum import FreqPreprocessing
-from tremorline.session import materialize
 
 # Functions that are computed together, in one pass over the series.
 _TOGETHER = {
@@ -57,20 +56,20 @@ def compute(*parts: tuple[Source, list[Feature]]) -> DataFrame:
     return gathered.select("id", *[F.col("m")[F.lit(p)][i].alias(f.name) for p, i, f in ordered])
 
 
-def _source(frame: DataFrame, pos: str, features: list[Feature], keep: bool) -> tuple[Source, list[Feature]]:
-    """The channels the features need; with ``keep`` written once to the shared folder, as several passes read them."""
-    used = list(dict.fromkeys(f.channel for f in features))
-    frame = frame.select("id", pos, *used)
-    return table_source(materialize(frame, "channels") if keep else frame, pos, *used), features
+def _channels(features: list[Feature]) -> list[str]:
+    return list(dict.fromkeys(f.channel for f in features))
 
 
 def extract_features(channels: DataFrame, pos: str, features: list[Feature], keep: bool = True) -> DataFrame:
-    """Features of the channels of a long frame, columns in alphabetical order."""
-    return compute(_source(channels, pos, features, keep))
+    """Features of the channels of a long frame, columns in alphabetical order.
+
+    Several passes read the frame; with ``keep`` it is written once, bucketed, to the shared folder.
+    """
+    return compute(((stored_table if keep else table_source)(channels, pos, *_channels(features)), features))
 
 
 def time_features(sig: DataFrame, prep: TimePreprocessing | None = None) -> DataFrame:
-    return extract_features((prep or TimePreprocessing()).transform(sig), "time", listed(TIME_FEATURES))
+    return compute((stored_time(sig, prep or TimePreprocessing()), listed(TIME_FEATURES)))
 
 
 def freq_features(sig: DataFrame, prep: FreqPreprocessing | None = None) -> DataFrame:
@@ -93,10 +92,11 @@ def all_features(
     sig: DataFrame, time: TimePreprocessing | None = None, freq: FreqPreprocessing | None = None
 ) -> DataFrame:
     """The feature table of the classifiers: 74 time-domain and 26 frequency-domain columns."""
-    channels = (time or TimePreprocessing()).transform(sig)
     spectrum = (freq or FreqPreprocessing()).transform(sig)
+    features = listed(FREQ_FEATURES)
     return compute(
-        _source(channels, "time", listed(TIME_FEATURES), True), _source(spectrum, "freq_num", listed(FREQ_FEATURES), True)
+        (stored_time(sig, time or TimePreprocessing()), listed(TIME_FEATURES)),
+        (stored_table(spectrum, "freq_num", *_channels(features)), features),
     )
 
 

@@ -76,7 +76,7 @@ def agg_linear_trend(src: Source, features: list[Feature]) -> DataFrame:
     lengths = sorted({f["chunk_len"] for f in features})
     needed = sorted({(f.channel, f["f_agg"]) for f in features})
     chunks = (
-        src.rows()
+        src.rows
         .select("*", F.explode(F.array(*[F.lit(c) for c in lengths])).alias("len"))
         .groupBy("id", "len", F.floor(F.col("pos") / F.col("len")).alias("chunk"))
         .agg(*[_CHUNK_AGGS[a](c).alias(f"{c}@{a}") for c, a in needed])
@@ -95,7 +95,7 @@ def agg_linear_trend(src: Source, features: list[Feature]) -> DataFrame:
 
 def quantiles(src: Source, features: list[Feature]) -> DataFrame:
     """Linear-interpolated quantiles and the median."""
-    rows, out = src.rows(), None
+    rows, out = src.rows, None
     for channel in dict.fromkeys(f.channel for f in features):
         wanted = {
             f"f{i}": (0.5 if f.function == "median" else f["q"]) for i, f in enumerate(features) if f.channel == channel
@@ -113,7 +113,7 @@ def mass_and_runs(src: Source, features: list[Feature]) -> DataFrame:
 
     The longest run below the mean ends at most ``pos - last value not below`` rows after such a value.
     """
-    rows = src.rows()
+    rows = src.rows
     channels = list(dict.fromkeys(f.channel for f in features))
     stats = rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),

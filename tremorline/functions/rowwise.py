@@ -253,7 +253,7 @@ def rowwise_features(src: Source, features: list[Feature]) -> DataFrame:
 
     needs_n = any(f.function == "energy_ratio_by_chunks" for f in features)
     if needs_n or any(s.stats or s.quantiles for s in used):
-        plain = src.rows()
+        plain = src.rows
         stats = plain.groupBy("id").agg(
             F.count(F.lit(1)).alias("n"),
             *[_STATS[k](s.channel).alias(f"{s.channel}@{k}") for s in used for k in sorted(s.stats)],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tremorline.blocks import attach
 from tremorline.functions.catalog import Feature
 from tremorline.functions.source import Source
-from tremorline.operators.spectrum import series_of
+from tremorline.operators.spectrum import ordered_samples, series_of
 
 # Triangular factors combined in one step (a factor for 10 lags is about 1 kB).
 FACTORS_PER_GROUP = 1024
@@ -70,12 +70,11 @@ def autoregression(src: Source, channel: str, k: int) -> DataFrame:
                 out.append(np.linalg.lstsq(rows[:, :-1], rows[:, -1], rcond=1e-15)[0] if enough else None)
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "coeffs": pa.array(out, pa.list_(pa.float64()))})
 
-    pair = F.struct(F.col("pos").alias("t"), F.col(channel).alias("x"))
     blocks = (
         src.framed(k, 0)
         .filter(F.col(channel).isNotNull())
         .groupBy("id", "block")
-        .agg(F.sort_array(F.collect_list(pair)).alias("samples"))
+        .agg(ordered_samples("pos", channel).alias("samples"))
     )
     each = blocks.mapInArrow(factors, "id long, block long, m long, factor array<double>")
     gathered = each.groupBy("id", F.floor(F.col("block") / FACTORS_PER_GROUP).alias("g")).agg(
@@ -135,7 +134,7 @@ def lempel_ziv_complexity(src: Source, features: list[Feature]) -> DataFrame:
     The parse is sequential by definition. Sorted partitions are streamed, so a task holds the phrases seen so far, not
     the series. Quantisation happens before, in the plan.
     """
-    rows = src.rows()
+    rows = src.rows
     channels = list(dict.fromkeys(f.channel for f in features))
     stats = rows.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),

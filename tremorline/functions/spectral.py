@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from tremorline.functions.catalog import Feature
 from tremorline.functions.source import Source
-from tremorline.operators.spectrum import half_spectrum, series_of
+from tremorline.operators.spectrum import half_spectrum, ordered_samples, series_of
 
 SEGMENT = 256  # fixed value: longest Welch segment; neighbours overlap by half
 
 
 def fft_aggregated(src: Source, features: list[Feature]) -> DataFrame:
     """Centroid and variance of the frequency number, weighted by |DFT| (constant part included)."""
-    rows, out = src.rows(), None
+    rows, out = src.rows, None
     for channel in dict.fromkeys(f.channel for f in features):
         spec = half_spectrum(rows.filter(F.col(channel).isNotNull()), "pos", channel, largest=src.largest)
         a, k = F.col("a"), F.col("k")
@@ -34,49 +34,56 @@ def fft_aggregated(src: Source, features: list[Feature]) -> DataFrame:
     return out
 
 
-def _periodogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(x: np.ndarray, first: bool) -> np.ndarray:
+    """Half-overlapping segments as rows; a series below one segment is a segment of its own."""
+    if len(x) >= SEGMENT:
+        return np.lib.stride_tricks.sliding_window_view(x, SEGMENT)[:: SEGMENT // 2]
+    return x[None, :] if first else x[None, :0]
+
+
+def _power(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Summed one-sided periodograms of the segments that start in a block, and their number."""
     for batch in batches:
-        out = []
-        for x in series_of(batch, "samples"):
-            n = len(x)
+        ids, out = [], []
+        for i, block, x in zip(batch["id"].to_pylist(), batch["block"].to_pylist(), series_of(batch, "samples")):
+            seg = _segments(x, block == 0)
+            m, n = seg.shape
+            if n == 0:
+                continue
             window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if n > 1 else np.ones(1)
-            power = np.abs(np.fft.rfft((x - x.mean()) * window)) ** 2 / (window**2).sum()
+            power = np.abs(np.fft.rfft((seg - seg.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2
+            power = power.sum(axis=0) / (window**2).sum()
             power[1 : None if n % 2 else -1] *= 2
+            ids.append((i, m))
             out.append(power)
         if out:
             counts = [len(p) for p in out]
             yield pa.RecordBatch.from_pydict({
-                "id": np.repeat(batch["id"].to_numpy(), counts),
+                "id": np.repeat([i for i, _ in ids], counts),
                 "k": np.concatenate([np.arange(c) for c in counts]),
+                "m": np.repeat([m for _, m in ids], counts),
                 "power": np.concatenate(out),
             })
 
 
-def welch_density(df: DataFrame, channel: str) -> DataFrame:
+def welch_density(src: Source, channel: str) -> DataFrame:
     """(id, k, density): mean one-sided periodogram of half-overlapping Hann segments, mean removed per segment.
 
-    A sample goes to the one or two segments that cover it; a segment is the unit of work, however long the series is.
-    A series shorter than one segment is one shorter segment.
+    A block, with the few rows after it that its last segments need, is the unit of work; the periodograms of the blocks
+    of a long series are added up afterwards.
     """
-    half = SEGMENT // 2
-    last = F.floor(F.col("pos") / half)
-    pair = F.struct(F.col("pos").alias("t"), F.col(channel).alias("x"))
-    segments = (
-        df.filter(F.col(channel).isNotNull())
-        .select("id", pair.alias("p"), F.explode(F.sequence(F.greatest(last - 1, F.lit(0)), last)).alias("segment"))
-        .groupBy("id", "segment")
-        .agg(F.sort_array(F.collect_list("p")).alias("samples"))
-        .filter((F.col("segment") == 0) | (F.size("samples") == SEGMENT))
-    )
-    power = segments.select("id", "samples").mapInArrow(_periodogram, "id long, k long, power double")
-    return power.groupBy("id", "k").agg(F.avg("power").alias("density"))
+    # the last segment of a block starts half a segment before its end
+    rows = src.framed(0, SEGMENT // 2).filter(F.col(channel).isNotNull())
+    arrays = rows.groupBy("id", "block").agg(ordered_samples("pos", channel).alias("samples"))
+    power = arrays.mapInArrow(_power, "id long, k long, m long, power double")
+    return power.groupBy("id", "k").agg((F.sum("power") / F.sum("m")).alias("density"))
 
 
 def fourier_entropy(src: Source, features: list[Feature]) -> DataFrame:
     """Entropy of a histogram of the Welch density (at most SEGMENT / 2 + 1 values per series)."""
-    rows, out = src.rows(), None
+    out = None
     for channel in dict.fromkeys(f.channel for f in features):
-        density = welch_density(rows, channel)
+        density = welch_density(src, channel)
         values = density.groupBy("id").agg(F.collect_list("density").alias("d"))
         wanted = []
         for i, f in enumerate(features):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorline import blocks
 from tremorline.blocks import longest
 from tremorline.operators.longdft import long_half_spectrum
 
@@ -17,11 +18,10 @@ from tremorline.operators.longdft import long_half_spectrum
 ARRAY_ROWS = 1 << 20
 
 
-def sample_arrays(df: DataFrame, pos: str, value: str, rows: int) -> DataFrame:
-    """(id, part, samples) with at most ``rows`` ordered samples of (pos, value) in an array."""
-    part = F.floor(F.col(pos) / F.lit(rows)).cast("long")
+def ordered_samples(pos: str, value: str):
+    """Aggregate: the (t, x) pairs of a group in the order of ``pos``."""
     pair = F.struct(F.col(pos).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
-    return df.groupBy("id", part.alias("part")).agg(F.sort_array(F.collect_list(pair)).alias("samples"))
+    return F.sort_array(F.collect_list(pair))
 
 
 def series_of(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
@@ -58,13 +58,22 @@ def half_spectrum(
     The distributed transform is planned only if a series (``largest`` = rows of the longest one) is too long for an
     array.
     """
-    rows = array_rows or ARRAY_ROWS
-    parts = sample_arrays(df, pos, value, rows)
-    if (longest(df) if largest is None else largest) < rows:
-        return parts.select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")
-    whole = (F.col("part") == 0) & (F.size("samples") < rows)
-    short = parts.filter(whole).select("id", "samples").mapInArrow(_array_spectra, "id long, k long, n long, a double")
-    long = parts.filter(~whole).select("id", F.inline("samples"))
+    limit = array_rows or ARRAY_ROWS
+    largest = longest(df) if largest is None else largest
+    schema = "id long, k long, n long, a double"
+    if "block" not in df.columns:
+        df = df.withColumn("block", blocks.block_of(pos))
+    if largest <= min(limit, blocks.BLOCK_ROWS):
+        # every series is one block
+        whole = df.groupBy("id", "block").agg(ordered_samples(pos, value).alias("samples"))
+        return whole.select("id", "samples").mapInArrow(_array_spectra, schema)
+    part = F.floor(F.col(pos) / F.lit(limit)).cast("long")
+    parts = df.groupBy("id", part.alias("part")).agg(ordered_samples(pos, value).alias("samples"))
+    if largest < limit:
+        return parts.select("id", "samples").mapInArrow(_array_spectra, schema)
+    alone = (F.col("part") == 0) & (F.size("samples") < limit)
+    short = parts.filter(alone).select("id", "samples").mapInArrow(_array_spectra, schema)
+    long = parts.filter(~alone).select("id", F.inline("samples"))
     return short.unionByName(long_half_spectrum(long))
 
 
