@@ -38,6 +38,12 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "array<int>": "INTEGER[]", "array<bigint>": "BIGINT[]", "array<double>": "DOUBLE[]",
+}
+
+
 def differences(spark_df, con, sql, limit: int = 5) -> list:
     got = rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     cur = con.execute(sql)
@@ -46,6 +52,9 @@ def differences(spark_df, con, sql, limit: int = 5) -> list:
     out = []
     if sorted(names) != sorted(spark_df.columns):
         out.append(("columns", sorted(spark_df.columns), sorted(names)))
+    want_types = {d[0]: str(d[1]) for d in cur.description}
+    got_types = {f.name: SQL_TYPES.get(f.dataType.simpleString(), "?") for f in spark_df.schema}
+    out += [("type", c, t, want_types.get(c)) for c, t in got_types.items() if t != want_types.get(c)]
     if len(got) != len(want):
         out.append(("rows", len(got), len(want)))
     out += [(a, b) for a, b in zip(got, want) if a != b][:limit]

@@ -69,9 +69,16 @@ def trim(df: DataFrame, pos: str, back: int, ahead: int, rows: int | None = None
 
 
 def per_block(stats: DataFrame, n: str = "n", rows: int | None = None) -> DataFrame:
-    """Repeat the one row a series has in ``stats`` for each of its blocks (``n`` = rows of the series)."""
+    """Repeat the one row a series has in ``stats`` for each of its blocks (``n`` = rows of the series).
+
+    In two steps, so that the block numbers of a huge series never form one array.
+    """
+    step = 4096
     last = block_of(F.greatest(F.col(n) - 1, F.lit(0)), rows)
-    return stats.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    zero = F.lit(0).cast("long")
+    out = stats.withColumn("__from", F.explode(F.sequence(zero, last, F.lit(step).cast("long"))))
+    stop = F.least(F.col("__from") + (step - 1), last)
+    return out.withColumn("block", F.explode(F.sequence(F.col("__from"), stop))).drop("__from")
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: str | Sequence[str], n: str = "n", rows: int | None = None) -> DataFrame:
@@ -170,7 +177,7 @@ def number_rows(
     keys = _names(keys)
     slotted, offsets = _split_large(df, keys, by, limit or SPLIT_ROWS)
     order = Window.partitionBy(*keys, "__slot").orderBy(by, *ties)
-    out = slotted.withColumn(name, F.row_number().over(order) - 1)
+    out = slotted.withColumn(name, (F.row_number().over(order) - 1).cast("long"))
     if offsets is not None:
         out = out.join(offsets, [*keys, "__slot"], "left").withColumn(
             name, F.col(name) + F.coalesce(F.col("__before"), F.lit(0))
@@ -253,7 +260,7 @@ def dense_ids(ids: DataFrame, name: str = "id", out: str = "new_id") -> DataFram
     )
     order = Window.partitionBy("block").orderBy(name)
     return (
-        ids.withColumn(out, F.row_number().over(order) - 1)
+        ids.withColumn(out, (F.row_number().over(order) - 1).cast("long"))
         .join(offsets, "block")
         .select(name, (F.col(out) + F.col("__before")).alias(out))
     )
@@ -274,7 +281,7 @@ def shuffled_rank(ids: DataFrame, seed: int, name: str = "id", out: str = "rank"
     )
     order = Window.partitionBy("__p").orderBy("__h", name)
     return (
-        hashed.withColumn(out, F.row_number().over(order) - 1)
+        hashed.withColumn(out, (F.row_number().over(order) - 1).cast("long"))
         .join(F.broadcast(offsets), "__p")  # at most 65 536 rows
         .select(name, (F.col(out) + F.col("__before")).alias(out), "n")
     )

@@ -202,7 +202,7 @@ def alarm_samples(frames: DataFrame, params: CropParams) -> DataFrame:
     kept = located.withColumn("__pos", F.col("sample_idx") - start).filter(F.col("__pos") >= F.col("skip"))
     order = Window.partitionBy("zone", "alarm_no").orderBy("__ord", "__pos")
     return kept.select(
-        "zone", "alarm_no", (F.row_number().over(order) - 1).alias("time"), "sample_idx", "value"
+        "zone", "alarm_no", (F.row_number().over(order) - 1).cast("long").alias("time"), "sample_idx", "value"
     )
 
 

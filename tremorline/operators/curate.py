@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tremorline.blocks import dense_ids, number_rows, shuffled_rank
 from tremorline.operators.preprocess import adaptive_avg_pool
+from tremorline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,12 @@ def rename_classes(ds: Dataset, renames: dict[str, str]) -> Dataset:
 
 
 def densify_ids(ds: Dataset) -> Dataset:
-    """Close the gaps between ids."""
-    ids = dense_ids(ds.labels)
+    """Close the gaps between ids.
+
+    Labels and the new ids, one row per series, are written before they are joined, as both are read several times.
+    """
+    ds = Dataset(ds.signals, materialize(ds.labels, "labels"))
+    ids = materialize(dense_ids(ds.labels), "ids")
 
     def renumbered(df: DataFrame) -> DataFrame:
         return df.join(ids, "id").withColumn("id", F.col("new_id")).drop("new_id")

@@ -178,7 +178,7 @@ def cwt_scalogram(sig: DataFrame, scales: list[int], dt: float = 0.001) -> DataF
                 pa.table({
                     "id": group["id"].filter(keep),
                     "scale": pa.array(np.full(len(power), a, "int32")),
-                    "time": pa.array(time[keep].astype("int32")),
+                    "time": pa.array(time[keep]),
                     "magnitude": power,
                     "frequency": np.full(len(power), 0.8125 / (a * dt)),
                 })
@@ -187,5 +187,5 @@ def cwt_scalogram(sig: DataFrame, scales: list[int], dt: float = 0.001) -> DataF
 
     near = with_halo(sig.select("id", "time", "signal_raw"), "id", "time", reach, reach)
     return near.groupBy("id", "block").applyInArrow(
-        convolve, "id long, scale int, time int, magnitude double, frequency double"
+        convolve, "id long, scale int, time long, magnitude double, frequency double"
     )

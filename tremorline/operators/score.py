@@ -15,7 +15,7 @@ from tremorline.operators.spectrum import FreqPreprocessing
 def alarm_signals(samples: DataFrame, key: str = "CAST(zone AS BIGINT) * 1000000000 + alarm_no") -> DataFrame:
     """Alarm samples (zone, alarm_no, time, value) as a signal; the id combines zone and alarm number."""
     return samples.select(
-        F.expr(key).cast("long").alias("id"), F.col("time").cast("int").alias("time"), F.col("value").alias("signal_raw")
+        F.expr(key).cast("long").alias("id"), F.col("time").cast("long").alias("time"), F.col("value").alias("signal_raw")
     )
 
 

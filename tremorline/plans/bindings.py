@@ -39,12 +39,12 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     numbered = number_rows(events, "user_id", micros(), ["event_id"])
     return numbered.select(
-        F.col("user_id").alias("id"), F.col("time").cast("int").alias("time"), F.col("value").alias("signal_raw")
+        F.col("user_id").alias("id"), "time", F.col("value").alias("signal_raw")
     )
 
 
 SIG = """sig AS (
-  SELECT user_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS time,
+  SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS time,
          value AS signal_raw
   FROM events)"""
 

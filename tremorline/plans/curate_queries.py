@@ -22,6 +22,7 @@ def dataset(spark, sf, part: int | None = None) -> Dataset:
     if part is not None:
         vecs = vecs.filter(F.col("id") % 2 == part).withColumn("id", F.expr("id div 2"))
     signals = vecs.select("id", F.posexplode("samples").alias("time", "signal_raw"))
+    signals = signals.withColumn("time", F.col("time").cast("long"))
     return Dataset(signals, vecs.select("id", F.col("label").cast("string").alias("label")))
 
 
@@ -105,7 +106,7 @@ def label_index_seen(spark, sf):
 
 @query("sample_series", f"""WITH {BASE}, chosen AS (
   SELECT id FROM base ORDER BY md5(id || ':{SEED}'), id LIMIT 20)
-SELECT v.id, CAST(t - 1 AS INTEGER) AS time, round(CAST(e.embedding[t] AS DOUBLE), 6) AS signal_raw
+SELECT v.id, t - 1 AS time, round(CAST(e.embedding[t] AS DOUBLE), 6) AS signal_raw
 FROM chosen v JOIN embeddings e ON e.vec_id = v.id, LATERAL (SELECT unnest(range(1, len(e.embedding) + 1)) AS t) t""")
 def sample_series(spark, sf):
     return b.rounded(curate.sample_series(dataset(spark, sf), 20, SEED), "signal_raw")

@@ -21,7 +21,7 @@ def joined(ds):
 @query("src_simple_dir", """WITH ids AS (
   SELECT row_number() OVER (ORDER BY CAST(label AS VARCHAR), vec_id) - 1 AS id, CAST(label AS VARCHAR) AS label, embedding
   FROM embeddings)
-SELECT id, label, CAST(t - 1 AS INTEGER) AS time, round(CAST(embedding[t] AS DOUBLE), 6) AS signal_raw
+SELECT id, label, t - 1 AS time, round(CAST(embedding[t] AS DOUBLE), 6) AS signal_raw
 FROM ids, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS t) t""")
 def src_simple_dir(spark, sf):
     path = scratch_path(spark, "simple")
@@ -52,7 +52,7 @@ def labelled_alarms(spark, sf):
 @query("src_nested_store", f"""WITH {LABELLED}, ids AS (
   SELECT row_number() OVER (ORDER BY zone, date_time, alarm_id) - 1 AS id, coalesce(label, 'unknown') AS label, embedding
   FROM alarms)
-SELECT id, label, CAST(t - 1 AS INTEGER) AS time, round(CAST(embedding[t] AS DOUBLE), 6) AS signal_raw
+SELECT id, label, t - 1 AS time, round(CAST(embedding[t] AS DOUBLE), 6) AS signal_raw
 FROM ids, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS t) t""")
 def src_nested_store(spark, sf):
     path = scratch_path(spark, "nested")
@@ -69,7 +69,7 @@ def unknown_label_report(spark, sf):
 
 @query("alarm_sink", f"""WITH {LABELLED}
 SELECT zone, strftime(date_time, '%Y_%m_%d') AS date, strftime(date_time, '%Hh') AS hour, alarm_id, label,
-       len(embedding) AS n FROM alarms""")
+       CAST(len(embedding) AS INTEGER) AS n FROM alarms""")
 def alarm_sink(spark, sf):
     out = store.stored(spark, labelled_alarms(spark, sf))
     return out.select("zone", "date", "hour", "alarm_id", "label", F.size("signal").alias("n"))

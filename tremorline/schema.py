@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 
 SIGNAL = T.StructType([
     T.StructField("id", T.LongType()),
-    T.StructField("time", T.IntegerType()),
+    T.StructField("time", T.LongType()),
     T.StructField("signal_raw", T.DoubleType()),
 ])
 

@@ -23,7 +23,7 @@ def _numbered(series: DataFrame, group: str, by: Column, ties: list[str]) -> Dat
 def _long(series: DataFrame, label: Column) -> Dataset:
     signals = series.select("id", F.posexplode("signal").alias("time", "signal_raw"))
     return Dataset(
-        signals.select("id", "time", F.col("signal_raw").cast("double").alias("signal_raw")),
+        signals.select("id", F.col("time").cast("long").alias("time"), F.col("signal_raw").cast("double").alias("signal_raw")),
         series.select("id", label.alias("label")),
     )
 
