@@ -27,7 +27,7 @@ HEADLINE = [
     "f_fourier_entropy",
     "f_ar_coefficient",
     "f_lempel_ziv_complexity",
-    "feature_long",
+    "feature_table",
     "curate_dataset",
     "series_tensor",
     "train_tuned_rf",
@@ -57,7 +57,7 @@ def main() -> None:
             "unit": "sec",
             "queries": seconds,
             "sf": os.path.basename(sf_dir.rstrip("/")),
-            "feature_samples_per_sec": round(samples / seconds["feature_long"], 1),
+            "feature_samples_per_sec": round(samples / seconds["feature_table"], 1),
         })
     )
 

@@ -13,8 +13,10 @@ Short series have the single block 0 and cost nothing extra.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -285,3 +287,18 @@ def shuffled_rank(ids: DataFrame, seed: int, name: str = "id", out: str = "rank"
         .join(F.broadcast(offsets), "__p")  # at most 65 536 rows
         .select(name, (F.col(out) + F.col("__before")).alias(out), "n")
     )
+
+
+def ordered_samples(pos: str, value: str) -> Column:
+    """Aggregate: the (t, x) pairs of a group in the order of ``pos``."""
+    pair = F.struct(F.col(pos).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
+    return F.sort_array(F.collect_list(pair))
+
+
+def series_of(batch: pa.RecordBatch, name: str, part: str = "x") -> Iterator[np.ndarray]:
+    """The ``x`` (or ``t``) values of every list of (t, x) pairs, without copying."""
+    lists = batch[name]
+    x = lists.values.field(part).to_numpy(zero_copy_only=False)
+    ends = lists.offsets.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield x[a:b]

@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.blocks import attach
+from tremorline.blocks import attach, ordered_samples, series_of
 from tremorline.functions.catalog import Feature
 from tremorline.functions.source import Source
-from tremorline.operators.spectrum import ordered_samples, series_of
 
 # Triangular factors combined in one step (a factor for 10 lags is about 1 kB).
 FACTORS_PER_GROUP = 1024

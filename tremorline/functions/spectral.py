@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorline.blocks import ordered_samples, series_of
 from tremorline.functions.catalog import Feature
 from tremorline.functions.source import Source
-from tremorline.operators.spectrum import half_spectrum, ordered_samples, series_of
+from tremorline.operators.spectrum import half_spectrum
 
 SEGMENT = 256  # fixed value: longest Welch segment; neighbours overlap by half
 

@@ -37,25 +37,25 @@ def feature_names(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
-def _pipeline(train: DataFrame, forest: RandomForestClassifier) -> Pipeline:
-    names = feature_names(train)
+def forest_stages(names: list[str], seed: int, **params) -> list:
+    """Stages from feature columns and ``label`` to class probabilities."""
     # forests take no missing values; an undefined feature (constant or very short series) counts as 0
     filled = ", ".join(f"coalesce({c}, 0D) AS {c}_filled" for c in names)
-    return Pipeline(stages=[
+    return [
         SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
         VectorAssembler(inputCols=[f"{c}_filled" for c in names], outputCol="features"),
         StringIndexer(inputCol="label", outputCol="class_idx", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        forest,
-    ])
+        RandomForestClassifier(labelCol="class_idx", featuresCol="features", seed=seed, **params),
+    ]
 
 
-def _forest(seed: int, **params) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="class_idx", featuresCol="features", seed=seed, **params)
+def _pipeline(train: DataFrame, seed: int, **params) -> Pipeline:
+    return Pipeline(stages=forest_stages(feature_names(train), seed, **params))
 
 
 def train_baseline_rf(train: DataFrame, seed: int = 0, trees: int = 100) -> PipelineModel:
     """Forest with default settings on (label, f0, f1, ...)."""
-    return _pipeline(train, _forest(seed, numTrees=trees)).fit(train)
+    return _pipeline(train, seed, numTrees=trees).fit(train)
 
 
 def balanced_weights(labels: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def train_tuned_rf(train: DataFrame, seed: int = 0, **overrides) -> PipelineMode
     """Forest with the tuned settings and balanced class weights."""
     weights = balanced_weights(train.select("label")).select("label", "weight")
     weighted = train.join(F.broadcast(weights), "label")  # one row per class name
-    return _pipeline(train, _forest(seed, weightCol="weight", **{**TUNED, **overrides})).fit(weighted)
+    return _pipeline(train, seed, weightCol="weight", **{**TUNED, **overrides}).fit(weighted)
 
 
 def stratified_folds(labels: DataFrame, folds: int = 3, seed: int = 0) -> DataFrame:
@@ -85,13 +85,14 @@ def search_params(
     train: DataFrame, grid: dict[str, Sequence], folds: int = 3, seed: int = 0
 ) -> tuple[CrossValidatorModel, list[dict]]:
     """Cross-validated grid over forest parameters, scored by the micro F1 (accuracy)."""
-    forest = _forest(seed)
+    pipeline = _pipeline(train, seed)
+    forest = pipeline.getStages()[-1]
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(forest.getParam(name), list(values))
     maps = builder.build()
     cv = CrossValidator(
-        estimator=_pipeline(train, forest),
+        estimator=pipeline,
         estimatorParamMaps=maps,
         evaluator=MulticlassClassificationEvaluator(labelCol="class_idx", metricName="accuracy"),
         numFolds=folds,
@@ -114,7 +115,8 @@ def classes_of(model: PipelineModel) -> list[str]:
 def predict_proba(model: PipelineModel, data: DataFrame) -> DataFrame:
     """(id, probabilities): class -> probability, rounded to 2 digits."""
     names = classes_of(model)
-    scored = model.transform(data.withColumn("label", F.lit(names[0])) if "label" not in data.columns else data)
+    # the indexer of the classes, second to last, is not needed for scoring
+    scored = PipelineModel([s for s in model.stages if s is not model.stages[-2]]).transform(data)
     share = F.slice(vector_to_array("probability"), 1, len(names))
     keys = F.array(*[F.lit(n) for n in names])
     return scored.select("id", F.map_from_arrays(keys, F.transform(share, lambda p: F.round(p, 2))).alias("probabilities"))

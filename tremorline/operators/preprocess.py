@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorline.blocks import BLOCK_ROWS, attach, block_of, block_window, core, with_halo
+from tremorline.blocks import (
+    BLOCK_ROWS,
+    attach,
+    block_of,
+    block_window,
+    core,
+    ordered_samples,
+    series_of,
+    with_halo,
+)
 
 STD_WINDOW = 32
 MEAN_WINDOW = 128
@@ -163,29 +173,28 @@ def cwt_scalogram(sig: DataFrame, scales: list[int], dt: float = 0.001) -> DataF
     """
     reach, rows = 8 * max(scales), BLOCK_ROWS
 
-    def convolve(group: pa.Table) -> pa.Table:
-        group = group.sort_by("time")
-        time = group["time"].to_numpy()
-        x = group["signal_raw"].to_numpy()
-        keep = time // rows == group["block"][0].as_py()
-        parts = []
-        for a in scales:
-            k = morlet(a)  # symmetric, so convolution equals correlation
-            size = len(x) + len(k) - 1
-            full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(k, size), size)
-            power = np.abs(full[8 * a : 8 * a + len(x)])[keep]
-            parts.append(
-                pa.table({
-                    "id": group["id"].filter(keep),
-                    "scale": pa.array(np.full(len(power), a, "int32")),
-                    "time": pa.array(time[keep]),
-                    "magnitude": power,
-                    "frequency": np.full(len(power), 0.8125 / (a * dt)),
+    def convolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch["id"].to_pylist(), batch["block"].to_pylist())
+            for (i, block), t, x in zip(keys, series_of(batch, "samples", "t"), series_of(batch, "samples")):
+                keep = t // rows == block
+                if not keep.any():
+                    continue
+                n = int(keep.sum())
+                parts = []
+                for a in scales:
+                    k = morlet(a)  # symmetric, so convolution equals correlation
+                    size = len(x) + len(k) - 1
+                    full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(k, size), size)
+                    parts.append(np.abs(full[8 * a : 8 * a + len(x)])[keep])
+                yield pa.RecordBatch.from_pydict({
+                    "id": np.full(n * len(scales), i),
+                    "scale": np.repeat(np.array(scales, "int32"), n),
+                    "time": np.tile(t[keep], len(scales)),
+                    "magnitude": np.concatenate(parts),
+                    "frequency": np.repeat([0.8125 / (a * dt) for a in scales], n),
                 })
-            )
-        return pa.concat_tables(parts)
 
     near = with_halo(sig.select("id", "time", "signal_raw"), "id", "time", reach, reach)
-    return near.groupBy("id", "block").applyInArrow(
-        convolve, "id long, scale int, time long, magnitude double, frequency double"
-    )
+    arrays = near.groupBy("id", "block").agg(ordered_samples("time", "signal_raw").alias("samples"))
+    return arrays.mapInArrow(convolve, "id long, scale int, time long, magnitude double, frequency double")

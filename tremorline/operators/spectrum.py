@@ -11,28 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorline import blocks
-from tremorline.blocks import longest
+from tremorline.blocks import longest, ordered_samples, series_of
 from tremorline.operators.longdft import long_half_spectrum
 
 # Series below this length are transformed as one array (8 MB); longer ones take the distributed transform.
 ARRAY_ROWS = 1 << 20
 
 
-def ordered_samples(pos: str, value: str):
-    """Aggregate: the (t, x) pairs of a group in the order of ``pos``."""
-    pair = F.struct(F.col(pos).cast("long").alias("t"), F.col(value).cast("double").alias("x"))
-    return F.sort_array(F.collect_list(pair))
-
-
-def series_of(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-    """The ``x`` values of every list of (t, x) pairs, without copying."""
-    lists = batch[name]
-    x = lists.values.field("x").to_numpy(zero_copy_only=False)
-    ends = lists.offsets.to_numpy()
-    for a, b in zip(ends[:-1], ends[1:]):
-        yield x[a:b]
-
-
 def _array_spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch["id"].to_numpy()

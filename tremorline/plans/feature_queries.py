@@ -12,7 +12,7 @@ from tremorline.functions.source import table_source, time_source
 from tremorline.operators.preprocess import TimePreprocessing
 from tremorline.operators.spectrum import FreqPreprocessing
 from tremorline.plans import bindings as b
-from tremorline.plans.registry import query
+from tremorline.plans.registry import CHECKS, query
 from tremorline.plans.signal_queries import DFT
 
 S, M, SPEC = "signal_std", "signal_mean", "signal_binned_fft"
@@ -508,7 +508,23 @@ def sort_columns(spark, sf):
     return b.rounded(out, "a_min", "b_sum")
 
 
-@query("feature_long")
-def feature_long(spark, sf):
+@query("feature_table")
+def feature_table(spark, sf):
     """All 100 features of every series as rows."""
     return long_rows(extract.all_features(b.signal(spark, sf), TIME))
+
+
+# every catalog feature with check SQL of its own: all but the autoregression, which is checked against numpy
+_CHECKED = [f for f in listed(TIME_FEATURES) + listed(FREQ_FEATURES) if f.function != "ar_coefficient"]
+
+
+def _all_checks() -> str:
+    names = ", ".join("'" + f.name + "'" for f in _CHECKED)
+    parts = [f"SELECT id, feature, value FROM ({CHECKS[q]})" for q in CHECKS if q.startswith("f_") and "one_lag" not in q]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE feature IN ({names})"
+
+
+@query("feature_long", _all_checks())
+def feature_long(spark, sf):
+    """The features with check SQL, all from one extraction."""
+    return feature_table(spark, sf).filter(F.col("feature").isin([f.name for f in _CHECKED]))

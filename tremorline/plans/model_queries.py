@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorline.functions.transformer import SeriesFeatures, signal_pipeline
 from tremorline.operators import crop, model, score
 from tremorline.operators.preprocess import TimePreprocessing
 from tremorline.operators.spectrum import FreqPreprocessing
@@ -48,12 +49,13 @@ def search_params(spark, sf):
 
 @query("fit_save_pipeline")
 def fit_save_pipeline(spark, sf):
-    """A saved and reloaded model gives the same classes and probabilities."""
-    data = training(spark, sf)
-    fitted = model.train_baseline_rf(data, seed=1, trees=5)
+    """Features and forest fitted on raw signals as one pipeline, saved, loaded again and applied."""
+    sig = b.signal(spark, sf)
+    labelled = sig.withColumn("label", F.concat(F.lit("c"), F.col("id") % 5))
+    fitted = signal_pipeline(SeriesFeatures(meanWindow=16), seed=1, numTrees=5).fit(labelled)
     path = scratch_path(spark, "model")
     model.save_model(fitted, path)
-    return model.predict_proba(model.load_model(path), data)
+    return model.predict_proba(model.load_model(path), sig)
 
 
 @query("predict_proba")

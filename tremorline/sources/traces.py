@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tremorline.blocks import attach, block_of
 from tremorline.schema import TRACE_HEADER
+from tremorline.session import materialize
 
 # Fixed values of the trace formats.
 END_OF_MESSAGE = b"<<<EndOfData.>>>"
@@ -117,14 +118,17 @@ def decode_trace_files(files: DataFrame) -> DataFrame:
             parts = []
             for raw, count, width in zip(batch["content"], batch["numTraces"].to_pylist(), batch["width"].to_pylist()):
                 parts.append(_matrix(memoryview(raw.as_buffer())[PAYLOAD_START:], count, width))
-            yield _decoded(batch["path"], parts)
+            out = _decoded(batch["path"], parts)
+            shift = np.repeat(batch["before"].to_numpy(), [len(m) for m in parts])
+            number = pa.array(out["trace"].to_numpy() + shift)
+            yield pa.RecordBatch.from_arrays([number, *out.columns], names=["trace_no", "path", "trace", "samples"])
 
+    # written, so that its measured size decides whether the payloads have to be shuffled to it
+    numbered = materialize(numbered, "headers")
     rows = files.select("path", "content").join(numbered, "path")
-    traces = rows.select("path", "content", "numTraces", "width").mapInArrow(
-        decode, "key string, trace long, samples array<int>"
+    return rows.select("path", "content", "numTraces", "width", "before").mapInArrow(
+        decode, "trace_no long, path string, trace long, samples array<int>"
     )
-    out = traces.withColumnRenamed("key", "path").join(numbered.select("path", "before"), "path")
-    return out.select((F.col("before") + F.col("trace")).alias("trace_no"), "path", "trace", "samples")
 
 
 def read_trace_files(spark: SparkSession, path: str) -> DataFrame:
