@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Runtime settings every operator relies on. Static cluster sizing (executors, memory) stays with spark-submit.
@@ -19,13 +22,27 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, and send it this package."""
+    _ship(spark.sparkContext)
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
+def _ship(context: SparkContext) -> None:
+    """Make the package importable in the Python workers, wherever they run."""
+    if getattr(context, "_tremorline_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tremorline-"), "tremorline.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tremorline_shipped = True
+
+
 def local_session(app: str = "tremorline", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (
@@ -42,7 +59,7 @@ def local_session(app: str = "tremorline", cpus: int | str = "*", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
