@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorline.blocks import ordered_samples, series_of
@@ -84,25 +84,24 @@ def fourier_entropy(src: Source, features: list[Feature]) -> DataFrame:
     """Entropy of a histogram of the Welch density (at most SEGMENT / 2 + 1 values per series)."""
     out = None
     for channel in dict.fromkeys(f.channel for f in features):
-        density = welch_density(src, channel)
-        values = density.groupBy("id").agg(F.collect_list("density").alias("d"))
-        wanted = []
-        for i, f in enumerate(features):
-            if f.channel == channel:
-                wanted.append(_histogram_entropy(f["bins"]).alias(f"f{i}"))
-        one = values.withColumns({"lo": F.array_min("d") / F.array_max("d")}).select("id", *wanted)
+        mine = [(i, f["bins"]) for i, f in enumerate(features) if f.channel == channel]
+        series = Window.partitionBy("id")
+        scaled = (
+            welch_density(src, channel)
+            .withColumns({"top": F.max("density").over(series), "low": F.min("density").over(series)})
+            .select("id", F.try_divide("density", "top").alias("d"), F.try_divide("low", "top").alias("lo"))
+        )
+        share = F.coalesce(F.try_divide(F.col("d") - F.col("lo"), 1 - F.col("lo")), F.lit(0.0))
+        slots = F.array(*[F.least(F.floor(share * b), F.lit(b - 1)) for _, b in mine])
+        counts = (
+            scaled.select("id", F.posexplode(slots).alias("which", "slot"))
+            .groupBy("id", "which", "slot")
+            .agg(F.count(F.lit(1)).alias("c"))
+        )
+        picks = []
+        for which, (i, _) in enumerate(mine):
+            c = F.when(F.col("which") == which, F.col("c"))
+            picks.append((F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c)).alias(f"f{i}"))
+        one = counts.groupBy("id").agg(*picks)
         out = one if out is None else out.join(one, "id", "outer")
     return out
-
-
-def _histogram_entropy(bins: int):
-    top, size = F.array_max("d"), F.size("d")
-    place = F.transform(
-        "d",
-        lambda v: F.coalesce(
-            F.least(F.floor(F.try_divide(v / top - F.col("lo"), 1 - F.col("lo")) * bins), F.lit(bins - 1)), F.lit(0)
-        ),
-    )
-    distinct = F.array_distinct(place)
-    shares = F.transform(distinct, lambda b: F.size(F.filter(place, lambda p: p == b)) / size)
-    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log(p))
