@@ -1,6 +1,6 @@
 """Imports every operator module, which registers its query."""
 
-from tremorline.llm import embeddings, mixing, near_text, packing, private_data, toxicity, winnowing
+from tremorline.llm import embeddings, mixing, near_text, packing, private_data, repeated_spans, toxicity, winnowing
 from tremorline.llm.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "embeddings", "mixing", "near_text", "packing", "private_data", "toxicity", "winnowing"]
+__all__ = ["CHECKS", "QUERIES", "embeddings", "mixing", "near_text", "packing", "private_data", "repeated_spans", "toxicity", "winnowing"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
+INVERSE = pow(BASE, -1, 1 << 64)
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -32,7 +32,7 @@ def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
         size = max(n, 2 * CHUNK_BYTES)
-        _powers, _inverses = _series(BASE, size), _series(_INVERSE, size)
+        _powers, _inverses = _series(BASE, size), _series(INVERSE, size)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
