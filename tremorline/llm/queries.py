@@ -1,6 +1,30 @@
 """Imports every operator module, which registers its query."""
 
-from tremorline.llm import embeddings, licenses, mixing, near_text, packing, private_data, repeated_spans, toxicity, winnowing
+from tremorline.llm import (
+    embeddings,
+    language_model,
+    licenses,
+    mixing,
+    near_text,
+    packing,
+    private_data,
+    repeated_spans,
+    toxicity,
+    winnowing,
+)
 from tremorline.llm.registry import CHECKS, QUERIES
 
-__all__ = ["CHECKS", "QUERIES", "embeddings", "licenses", "mixing", "near_text", "packing", "private_data", "repeated_spans", "toxicity", "winnowing"]
+__all__ = [
+    "CHECKS",
+    "QUERIES",
+    "embeddings",
+    "language_model",
+    "licenses",
+    "mixing",
+    "near_text",
+    "packing",
+    "private_data",
+    "repeated_spans",
+    "toxicity",
+    "winnowing",
+]
