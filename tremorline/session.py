@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a Python worker holds a few arrays of the size of a batch
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
