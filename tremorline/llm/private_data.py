@@ -270,55 +270,60 @@ def added_spans(graph: Graph, marginal: np.ndarray, base: list[tuple[int, int, i
 SPANS = "array<struct<start:long,end:long,kind:string,base:boolean>>"
 
 
+def spans_of(column: pa.Array, field: Field) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """(start, end, kind, found by the patterns) of the texts of a column that have any, by start and then kind."""
+    out = {}
+    for i in np.flatnonzero(flagged(column)).tolist():
+        text = column[i].as_py()
+        base = base_spans(text)
+        graph = Graph(text)
+        more = []
+        if graph.spans:
+            links = np.array(graph.links, dtype=np.int64).reshape(-1, 3)
+            more = added_spans(graph, field.marginals(np.array(graph.features), links), base)
+        rows = [(*s, True) for s in base] + [(*s, False) for s in more]
+        if rows:
+            out[i] = sorted(rows, key=lambda s: (s[0], s[2], s[1]))
+    return out
+
+
 def find_spans(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """Add ``__spans``: the spans of every text, in code points, by start and then kind; ``base`` tells the patterns' own.
+    """doc_id, spans: the spans of every text, in code points.
 
-    Null texts are empty. Rows repeat as given; an empty table gives no rows. Tasks hold one batch of texts at a time,
-    and a text's candidate tokens.
+    Null texts are empty. Rows repeat as given, null doc_ids are kept; an empty table gives no rows. Tasks hold one batch
+    of texts at a time, and a text's candidate tokens.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field or train_field(docs.select("doc_id", "text")))
+    docs = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(field or train_field(docs))
     kind_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch["__text"]
             found: list[list] = [[] for _ in range(batch.num_rows)]
-            for i in np.flatnonzero(flagged(column)).tolist():
-                text = column[i].as_py()
-                base = base_spans(text)
-                graph = Graph(text)
-                more = []
-                if graph.spans:
-                    links = np.array(graph.links, dtype=np.int64).reshape(-1, 3)
-                    more = added_spans(graph, held.value.marginals(np.array(graph.features), links), base)
-                rows = [(*s, True) for s in base] + [(*s, False) for s in more]
-                rows.sort(key=lambda s: (s[0], s[2], s[1]))
+            for i, rows in spans_of(batch["text"], held.value).items():
                 found[i] = [{"start": a, "end": b, "kind": KINDS[k], "base": own} for a, b, k, own in rows]
-            kept = [batch[i] for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1] + ["__spans"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind_type)], names=names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, kind_type)], names=["doc_id", "spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("__text", text_of()).mapInArrow(find, f"{schema}, __spans {SPANS}")
+    return docs.mapInArrow(find, f"doc_id long, spans {SPANS}")
 
 
 def private_data(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest, all spans and the number added by the field."""
-    found = find_spans(docs.select(F.col("doc_id"), F.col("text"))).drop("text")
+    found = find_spans(docs)
 
     def written(spans):
         one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
         return F.array_join(F.transform(spans, one), ",")
 
-    base = F.filter("__spans", lambda s: s["base"])
+    base = F.filter("spans", lambda s: s["base"])
 
     def count(kind):
-        return F.size(F.filter("__spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    added = F.size(F.filter("__spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
     return found.select(
-        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("__spans")).alias("spans"), added
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), added
     )
 
 
@@ -327,27 +332,26 @@ def redact(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there, becomes the new length. Null texts stay null.
     """
-    found = find_spans(docs)
+    held = docs.sparkSession.sparkContext.broadcast(train_field(docs))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"]
-            spans = batch["__spans"].to_pylist()
-            changed = [i for i, s in enumerate(spans) if s]
-            if changed:
+            found = spans_of(texts.fill_null(""), held.value)
+            if found:
                 out = texts.to_pylist()
-                for i in changed:
+                for i, spans in found.items():
                     parts, stop = [], 0
-                    for s in spans[i]:
-                        if s["start"] >= stop:
-                            parts += [out[i][stop : s["start"]], f"[{s['kind'].upper()}]"]
-                        stop = max(stop, s["end"])
+                    for start, end, kind, _ in spans:
+                        if start >= stop:
+                            parts += [out[i][stop:start], f"[{KINDS[kind].upper()}]"]
+                        stop = max(stop, end)
                     out[i] = "".join(parts) + out[i][stop:]
                 texts = pa.array(out, texts.type)
-            columns = [texts if n == "text" else batch[n] for n in batch.schema.names[:-1]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns = [texts if n == "text" else batch[n] for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = found.mapInArrow(apply, docs.schema)
+    out = docs.mapInArrow(apply, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorline.llm.common import table, text_of
 from tremorline.llm.registry import query
@@ -335,16 +336,14 @@ def score(docs: DataFrame, trained: tuple[Lexicon, Linear]) -> DataFrame:
         lexicon, linear = held.value
         for batch in batches:
             out = [np.zeros(0)]
-            for chunk in chunks(batch["__text"], PUNCTUATION):
+            for chunk in chunks(batch["text"].fill_null(""), PUNCTUATION):
                 owner, place, value, _, figures = lexicon.read(chunk)
                 logit = linear.logit(chunk.last - chunk.first, owner, place, value, figures)
                 out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            kept = [batch[i] for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1] + ["__score"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(out))], names=names)
+            names = [*batch.schema.names, "__score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=names)
 
-    schema = docs.schema.add("__score", "double")
-    return docs.withColumn("__text", text_of()).mapInArrow(rate, schema)
+    return docs.mapInArrow(rate, T.StructType([*docs.schema, T.StructField("__score", T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
