@@ -92,10 +92,12 @@ def patterns(counts: np.ndarray) -> np.ndarray:
 def fit_counts(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Non-negative repeat counts x of the patterns with the least squared error of A x = counts.
 
+    Errors weigh as the length, since a long piece that is left over opens a sequence of its own and short ones fill gaps.
     Accelerated projected gradient; A has at most three entries per pattern and is never formed.
     """
     target = counts.astype(float).copy()
     target[0] = 0.0
+    weight = (np.arange(len(counts)) / (len(counts) - 1)) ** 2
     x = np.zeros(len(found))
     if not len(found):
         return x
@@ -107,13 +109,13 @@ def fit_counts(found: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> n
 
     probe = np.ones(len(found))
     for _ in range(30):
-        probe = apply(probe)[found].sum(1)
+        probe = (weight * apply(probe))[found].sum(1)
         norm = np.linalg.norm(probe)
         probe /= norm
     step = 1.0 / (1.05 * norm)
     y, t = x, 1.0
     for _ in range(rounds):
-        nxt = np.maximum(0.0, y - step * (apply(y) - target)[found].sum(1))
+        nxt = np.maximum(0.0, y - step * (weight * (apply(y) - target))[found].sum(1))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, x, t = nxt + (t - 1) / t2 * (nxt - x), nxt, t2
     return x
