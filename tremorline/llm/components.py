@@ -12,9 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from every node of ``edges`` (a, b) except the roots themselves.
 
     Alternates two rewirings until nothing changes: every node is linked to the smallest of its neighbours, first for the
-    larger neighbours, then for the smaller ones. Both are a pre-aggregated minimum per node and a join with it, so a node
-    with very many links is no hot group; the number of rounds grows with the logarithm of the longest path. Each round
-    is written to the shared folder, and only its row count and checksum reach the driver.
+    larger neighbours, then for the smaller ones. Both are a pre-aggregated minimum per node and a join with it. The
+    minima are written first, so that both sides of the join are plain shuffles whose large partitions adaptive execution
+    can split: a node with very many links is no hot group. The number of rounds grows with the logarithm of the longest
+    path. Only a row count and a checksum of each round reach the driver.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
     edges = materialize(edges, "edges")
@@ -22,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(low, "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low).distinct(), "small-star")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

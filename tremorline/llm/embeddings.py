@@ -195,7 +195,8 @@ def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     roots = components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     known = classes.select("class", "n", "id").join(linked, "class", "left")
     known = known.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    # written first: then both sides of the join are plain shuffles, and a large component can be split
+    named = materialize(known.groupBy("root").agg(F.min("id").alias("component_id")), "components")
     known = known.join(named, "root").select("class", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = rows.join(known, "class").select("vec_id", "n_links", "component_id")
     alone = vectors.filter(~can_link())
