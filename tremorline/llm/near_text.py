@@ -273,7 +273,8 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     wanted = members.select("digest").distinct()
     rows = docs.select(digest().alias("digest"), text_of().alias("text"))
-    texts = rows.join(wanted, "digest").groupBy("digest").agg(F.min("text").alias("text"))
+    # one text of many copies leaves each task, so copies do not meet in one
+    texts = rows.groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest")
     texts = materialize(texts, "texts")
 
     best = Window.partitionBy("a").orderBy(F.col("bands").desc(), "b")
@@ -304,7 +305,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     nodes = rooted(nodes.select("digest", "id"), "digest", "root")
     kept = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
-    classes = nodes.groupBy("root").agg(kept.alias("k"))
+    classes = materialize(nodes.groupBy("root").agg(kept.alias("k")), "kept")  # see components: a large class can be split
     return nodes.join(classes, "root").select("digest", F.col("k.id").alias("class_id"), F.col("k.digest").alias("keep"))
 
 
