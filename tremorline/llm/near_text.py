@@ -279,17 +279,17 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     best = Window.partitionBy("a").orderBy(F.col("bands").desc(), "b")
     first = stars.withColumn("turn", F.row_number().over(best)).filter("turn = 1").select("a", "b")
-    links = materialize(verified(first, texts, weights, similarity), "links")
-    roots = components(links)
+    roots = components(verified(first, texts, weights, similarity))
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
     def rooted(df: DataFrame, name: str, out: str) -> DataFrame:
         joined = df.join(roots.select(F.col("node").alias(name), F.col("root").alias("__r")), name, "left")
         return joined.withColumn(out, F.coalesce("__r", name)).drop("__r")
 
     open_stars = rooted(rooted(stars.join(first, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra != rb")
-    more = verified(open_stars.select("a", "b"), texts, weights, similarity)
-    links = materialize(links.union(more), "links")
-    roots = components(links)
+    roots = joined_by(verified(open_stars.select("a", "b"), texts, weights, similarity))
 
     placed = rooted(members, "digest", "root")
     bucket = placed.groupBy("band", "key").agg(
@@ -300,8 +300,7 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     unsettled = bucket.filter("low != high and n > 2").groupBy("content", "n").agg(F.min(F.struct("band", "key")).alias("at"))
     unsettled = unsettled.select("at.band", "at.key")
     left = placed.join(unsettled, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "digest", "root")
-    links = materialize(links.union(rest_of_buckets(left, texts, weights, similarity)), "links")
-    roots = components(links)
+    roots = joined_by(rest_of_buckets(left, texts, weights, similarity))
 
     nodes = rooted(nodes.select("digest", "id"), "digest", "root")
     kept = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest"))
