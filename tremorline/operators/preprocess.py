@@ -109,10 +109,11 @@ def _symmetric_window(window: int) -> tuple[Column, Column]:
     half, rest = window // 2, (window - 1) // 2
     edge = (p < half) | (p >= n - half)
     reach = F.least(p, n - 1 - p)
-    # a window that would be the whole series loses its last sample
-    whole = edge & (n > 1) & (F.lit(window) >= n) & (p - reach == 0) & (p + reach == n - 1)
     back = F.when(edge, reach).otherwise(F.lit(half))
-    ahead = F.when(edge, F.when(whole, reach - 1).otherwise(reach)).otherwise(F.lit(rest))
+    ahead = F.when(edge, reach).otherwise(F.lit(rest))
+    # a window that would be the whole series loses its last sample
+    whole = (n > 1) & (back == p) & (ahead == n - 1 - p)
+    ahead = F.when(whole, ahead - 1).otherwise(ahead)
     return back, ahead
 
 

@@ -151,11 +151,12 @@ def time_channels(spark, sf):
 
 SYMMETRIC = """{sig}, sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM sig),
 reach AS (SELECT *, time < {w} // 2 OR time >= n - {w} // 2 AS edge, least(time, n - 1 - time) AS r FROM sized),
-span AS (
-  SELECT id, time, signal_raw, CASE WHEN edge THEN time - r ELSE time - {w} // 2 END AS lo,
-         CASE WHEN edge THEN time + r - CASE WHEN {w} >= n AND n > 1 AND time - r = 0 AND time + r = n - 1 THEN 1 ELSE 0 END
-              ELSE time + ({w} - 1) // 2 END AS hi
+full_ AS (
+  SELECT id, time, signal_raw, n, CASE WHEN edge THEN time - r ELSE time - {w} // 2 END AS lo,
+         CASE WHEN edge THEN time + r ELSE time + ({w} - 1) // 2 END AS hi
   FROM reach),
+span AS (
+  SELECT id, time, signal_raw, lo, CASE WHEN n > 1 AND lo = 0 AND hi = n - 1 THEN hi - 1 ELSE hi END AS hi FROM full_),
 smean AS (
   SELECT s.id, s.time, any_value(s.signal_raw) AS signal_raw, any_value(s.lo) AS lo, any_value(s.hi) AS hi,
          avg(o.signal_raw) AS m
