@@ -55,6 +55,22 @@ def test_label_edits_rewrite_only_their_partitions(spark):
     assert {k: v for k, v in got.items() if v} == {3: "saw", 17: "hit"}
 
 
+def test_streamed_alarms_can_be_edited_and_written_again(spark):
+    path = scratch_path(spark, "stream-test")
+    write = store.sink_batch(path)
+    write(alarms(spark).filter("alarm_id < 20"), 0)
+    for _ in range(2):  # a batch repeated after a failure
+        write(alarms(spark).filter("alarm_id >= 20"), 1)
+    store.alarm_sink(alarms(spark, 42).filter("alarm_id >= 40"), path)
+    before = store.read_store(spark, path)
+    edits = before.filter("alarm_id IN (3, 18, 21, 40)").select(*store.PARTITIONS, "alarm_id")
+    store.save_labels(spark, path, edits.withColumns({"label": F.lit("hit"), "edit_time": F.lit(1)}))
+    write(alarms(spark, 43).filter("alarm_id >= 42"), 2)
+    got = sorted((r["alarm_id"], r["label"]) for r in store.read_store(spark, path).collect())
+    assert [a for a, _ in got] == list(range(43))
+    assert [a for a, label in got if label] == [3, 18, 21, 40]
+
+
 def test_ring_keeps_the_newest(spark):
     kept = store.hour_ring_buffer(store.alarm_path_parts(alarms(spark)), keep=2)
     per = kept.groupBy(*store.PARTITIONS).agg(F.max("alarm_name").alias("last"), F.count("*").alias("n")).collect()

@@ -9,6 +9,8 @@ from tremorline.blocks import attach, block_window, core, number_rows, with_halo
 from tremorline.session import scratch_path
 
 PARTITIONS = ["zone", "date", "hour"]
+# Innermost folder: the micro-batch that wrote it.
+BATCH, NO_BATCH = "batch", -1
 UNKNOWN = "unknown"  # fixed value: label of an alarm nobody labelled
 MAX_ALARMS = 250  # fixed value: alarms kept per zone and hour
 
@@ -37,20 +39,23 @@ def alarm_name(no: str | Column) -> Column:
     return F.format_string("alarm %05d", no)
 
 
-def alarm_sink(alarms: DataFrame, path: str, mode: str = "append") -> None:
-    """Write alarms (zone, date_time, ...) below zone=/date=/hour=.
+def _write(parts: DataFrame, path: str, mode: str) -> None:
+    """Rows are rebalanced by partition: small ones share a task, a large one is split over several."""
+    writer = parts.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS, BATCH).mode(mode)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
-    Rows are rebalanced by partition: small ones share a task, a large one is split over several.
-    """
+
+def alarm_sink(alarms: DataFrame, path: str, mode: str = "append", batch: int = NO_BATCH) -> None:
+    """Write alarms (zone, date_time, ...) below zone=/date=/hour=/batch=; ``overwrite`` replaces the folders it writes."""
     parts = alarms if "hour" in alarms.columns else alarm_path_parts(alarms).drop("file_name", "stamp")
-    parts.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS).mode(mode).parquet(path)
+    _write(parts.withColumn(BATCH, F.lit(batch)), path, mode)
 
 
 def sink_batch(path: str):
-    """``foreachBatch`` writer: every micro-batch owns a folder it can write again after a failure."""
+    """``foreachBatch`` writer: every micro-batch owns folders it can write again after a failure."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        alarm_sink(batch, f"{path}/batch={batch_id}", mode="overwrite")
+        alarm_sink(batch, path, mode="overwrite", batch=batch_id)
 
     return write
 
@@ -62,11 +67,15 @@ def stored(spark: SparkSession, alarms: DataFrame, name: str = "store") -> DataF
     return read_store(spark, path)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
+def _read(spark: SparkSession, path: str) -> DataFrame:
     out = spark.read.parquet(path)
     return out.withColumns({"zone": F.col("zone").cast("int"), "date": F.col("date").cast("string")})
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path).drop(BATCH)
+
+
 def hour_ring_buffer(alarms: DataFrame, keep: int = MAX_ALARMS) -> DataFrame:
     """The newest ``keep`` alarms of each zone and hour, numbered from 1 by age.
 
@@ -86,18 +95,17 @@ def set_label(alarms: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def save_labels(spark: SparkSession, path: str, edits: DataFrame) -> None:
-    """Rewrite only the zone/date/hour partitions with edited alarms.
+    """Rewrite only the zone/date/hour partitions with edited alarms, each batch in its own folder.
 
     ``edits`` carry (zone, date, hour, alarm_id, label, edit_time). The new rows are written beside the store first, so
     that the partitions are not read and overwritten at once.
     """
     touched = edits.select(*PARTITIONS).distinct()
-    store = read_store(spark, path)
+    store = _read(spark, path)
     changed = set_label(store.join(touched, PARTITIONS, "left_semi"), edits.select("alarm_id", "label", "edit_time"))
     staged = scratch_path(spark, "labels")
     changed.select(*store.columns).write.parquet(staged)
-    fresh = spark.read.parquet(staged).hint("rebalance", *PARTITIONS)
-    fresh.write.partitionBy(*PARTITIONS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    _write(spark.read.parquet(staged), path, "overwrite")
 
 
 def parse_label_list(texts: DataFrame, key: str, text: str) -> DataFrame:
