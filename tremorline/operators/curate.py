@@ -180,5 +180,5 @@ def series_tensor(ds: Dataset, length: int = 3000) -> DataFrame:
     """(id, signal, class_idx): every series as an array of the same length, with the index of its class."""
     pooled = adaptive_avg_pool(ds.signals, length)
     arrays = pooled.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "pooled"))).alias("__s"))
-    classes = ds.labels.join(F.broadcast(label_index_seen(ds.labels)), "label")  # one row per class name
+    classes = ds.labels.join(label_index_seen(ds.labels), "label")
     return arrays.join(classes, "id").select("id", F.col("__s.pooled").alias("signal"), "class_idx")

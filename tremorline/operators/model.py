@@ -69,7 +69,7 @@ def balanced_weights(labels: DataFrame) -> DataFrame:
 def train_tuned_rf(train: DataFrame, seed: int = 0, **overrides) -> PipelineModel:
     """Forest with the tuned settings and balanced class weights."""
     weights = balanced_weights(train.select("label")).select("label", "weight")
-    weighted = train.join(F.broadcast(weights), "label")  # one row per class name
+    weighted = train.join(weights, "label")
     return _pipeline(train, seed, weightCol="weight", **{**TUNED, **overrides}).fit(weighted)
 
 

@@ -14,7 +14,7 @@ from tremorline.plans.signal_queries import CROP_SQL, PARAMS
 from tremorline.session import materialize, scratch_path
 from tremorline.streaming.crop_stream import stream_crop_alarms
 
-TREES = 20
+TREES = 100
 SIZE = 64
 
 
@@ -52,7 +52,7 @@ def fit_save_pipeline(spark, sf):
     """Features and forest fitted on raw signals as one pipeline, saved, loaded again and applied."""
     sig = b.signal(spark, sf)
     labelled = sig.withColumn("label", F.concat(F.lit("c"), F.col("id") % 5))
-    fitted = signal_pipeline(SeriesFeatures(meanWindow=16), seed=1, numTrees=5).fit(labelled)
+    fitted = signal_pipeline(SeriesFeatures(meanWindow=16), seed=1, numTrees=TREES).fit(labelled)
     path = scratch_path(spark, "model")
     model.save_model(fitted, path)
     return model.predict_proba(model.load_model(path), sig)
@@ -70,12 +70,12 @@ def balanced_weights(spark, sf):
     return b.rounded(model.balanced_weights(b.class_labels(spark, sf)), "weight")
 
 
-@query("top_class", """WITH p AS (
-  SELECT vec_id AS id, [round(abs(CAST(x AS DOUBLE)), 1) FOR x IN embedding[1:3]] AS v FROM embeddings)
-SELECT id, CASE list_max(v) WHEN v[1] THEN 'hit' WHEN v[2] THEN 'saw' ELSE 'wind' END AS alarm FROM p""")
+@query("top_class", f"""WITH p AS (
+  SELECT vec_id AS id, [round(abs(CAST(x AS DOUBLE)), 1) FOR x IN embedding[1:{SIZE}]] AS v FROM embeddings)
+SELECT id, 'c' || lpad(CAST(list_position(v, list_max(v)) - 1 AS VARCHAR), 2, '0') AS alarm FROM p""")
 def top_class(spark, sf):
-    shares = F.transform(F.slice("samples", 1, 3), lambda x: F.round(F.abs(x), 1))
-    names = F.array(F.lit("hit"), F.lit("saw"), F.lit("wind"))
+    shares = F.transform(F.slice("samples", 1, SIZE), lambda x: F.round(F.abs(x), 1))
+    names = F.array(*[F.lit(f"c{i:02d}") for i in range(SIZE)])
     return b.vectors(spark, sf).select("id", model.top_class(F.map_from_arrays(names, shares)).alias("alarm"))
 
 
@@ -118,7 +118,7 @@ def score_alarms(spark, sf):
     time, freq = TimePreprocessing(mean_window=16), FreqPreprocessing(n_bins=10)
     table = materialize(score.features_of(score.alarm_signals(samples), time, freq), "features")
     labelled = table.withColumn("label", F.concat(F.lit("z"), F.expr("id div 1000000000 % 2")))
-    fitted = model.train_baseline_rf(labelled, seed=1, trees=5)
+    fitted = model.train_baseline_rf(labelled, seed=1, trees=TREES)
     scored = model.predict_proba(fitted, table)
     return scored.select(
         F.expr("CAST(id div 1000000000 AS INTEGER)").alias("nchn"),
