@@ -1,7 +1,9 @@
 """Imports every operator module, which registers its query."""
 
 from tremorline.llm import (
+    divergence,
     embeddings,
+    importance,
     language_model,
     licenses,
     mixing,
@@ -9,6 +11,7 @@ from tremorline.llm import (
     packing,
     private_data,
     repeated_spans,
+    token_files,
     toxicity,
     winnowing,
 )
@@ -17,7 +20,9 @@ from tremorline.llm.registry import CHECKS, QUERIES
 __all__ = [
     "CHECKS",
     "QUERIES",
+    "divergence",
     "embeddings",
+    "importance",
     "language_model",
     "licenses",
     "mixing",
@@ -25,6 +30,7 @@ __all__ = [
     "packing",
     "private_data",
     "repeated_spans",
+    "token_files",
     "toxicity",
     "winnowing",
 ]
