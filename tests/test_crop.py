@@ -33,25 +33,39 @@ def simulate(frames, p):
     return out
 
 
-def recording(seed, frames=60, loud=0.25):
+def recording(seed, frames=60, loud=0.25, longest=None):
+    """Frames of one zone; of ``frame_len`` samples, or of 1 to ``longest``."""
     rng = np.random.default_rng(seed)
-    out = [rng.normal(size=P.frame_len) for _ in range(frames)]
+    sizes = rng.integers(1, longest + 1, frames) if longest else np.full(frames, P.frame_len)
+    sizes[0] = 9
+    out = [rng.normal(size=n) for n in sizes]
     state = False
     for i in range(1, frames):
         state = rng.random() < (0.6 if state else loud * 0.3)
         if state:
             out[i] = out[i] * 0.1
-            out[i][rng.integers(P.frame_len)] += rng.choice([-1, 1]) * 40
+            out[i][rng.integers(len(out[i]))] += rng.choice([-1, 1]) * 40
     return [x.round(3) for x in out]
 
 
-def rows(zones):
-    return [
-        (z, n, n * P.frame_len + i, float(v))
-        for z, frames in enumerate(zones)
-        for n, x in enumerate(frames)
-        for i, v in enumerate(x)
-    ]
+def numbered(zones, seed=0, gaps=0.0):
+    """(zone, frame_no, samples) in order; some numbers are left out where ``gaps`` > 0."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for z, frames in enumerate(zones):
+        no = 0
+        for i, x in enumerate(frames):
+            no += 0 if i == 0 else 1 + int(rng.random() < gaps) * int(rng.integers(1, 40))
+            out.append((z, no, x))
+    return out
+
+
+def rows(zones, gaps=0.0):
+    out, at = [], 0
+    for z, no, x in numbered(zones, gaps=gaps):
+        out += [(z, no, at + i, float(v)) for i, v in enumerate(x)]
+        at += len(x) + 3
+    return out
 
 
 @pytest.fixture(scope="module")
@@ -61,20 +75,59 @@ def zones():
     return out
 
 
+@pytest.fixture(scope="module")
+def uneven():
+    """Frames of any length: mostly far shorter than the nominal one, or longer, loud for long."""
+    out = [recording(s, 150, loud=l, longest=n) for s, (l, n) in enumerate([(0.1, 2), (0.4, 3), (2.5, 4), (0.9, 30), (3, 1)] * 2)]
+    out.append([recording(98)[0]] + [np.array([50.0 * (i % 2)]) for i in range(140)])  # frames of one sample
+    out.append([recording(97)[0]] + [np.array([0.0, 60, 0])] * 140)  # never quiet
+    return out
+
+
 def want(zones):
     return {(z, i): a for z, frames in enumerate(zones) for i, a in enumerate(simulate(frames, P))}
 
 
-@pytest.mark.parametrize("block", [4, 1 << 16])
-def test_batch(spark, zones, monkeypatch, block):
-    monkeypatch.setattr("tremorline.blocks.BLOCK_ROWS", block)
-    frames = spark.createDataFrame(rows(zones), "zone int, frame_no long, sample_idx long, value double")
+FRAMES = "zone int, frame_no long, sample_idx long, value double"
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.3])
+@pytest.mark.parametrize("block", [3, 11, 1 << 16])
+@pytest.mark.parametrize("kind", ["zones", "uneven"])
+def test_batch(spark, request, monkeypatch, kind, block, gaps):
+    zones = request.getfixturevalue(kind)
+    monkeypatch.setattr("tremorline.operators.crop.PIECE_FRAMES", block)
+    frames = spark.createDataFrame(rows(zones, gaps), FRAMES)
     got = crop.alarm_samples(frames, P).toPandas().sort_values(["zone", "alarm_no", "time"])
+    for _, g in got.groupby(["zone", "alarm_no"]):
+        assert list(g["time"]) == list(range(len(g)))
     got = {k: list(g["value"]) for k, g in got.groupby(["zone", "alarm_no"])}
     assert got == want(zones)
     assert len(got) > 20
 
 
+def fold_in_order(frames):
+    """Status of every frame of one zone by the step function of the stream."""
+    state, noise, out = crop.CropState(), np.std(frames[0]), []
+    state.last_no, state.last_n = 0, len(frames[0])
+    for no, x in enumerate(frames[1:], 1):
+        mid = np.median(x)
+        top = int(np.argmin(x) if x.max() - mid < mid - x.min() else np.argmax(x))
+        closed = state.step(no, len(x), np.std(x) / noise > P.threshold, top, P)
+        out.append((no, "emitted" if closed is not None else "recording" if state.recording else "idle", state.cached))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 1 << 16])
+def test_status_of_every_frame(spark, uneven, monkeypatch, block):
+    monkeypatch.setattr("tremorline.operators.crop.PIECE_FRAMES", block)
+    frames = spark.createDataFrame(rows(uneven), FRAMES)
+    got = crop.frame_status(frames, P).select("zone", "frame_no", "status", "cached").collect()
+    wanted = [(z, 0, "idle", 0) for z in range(len(uneven))]
+    wanted += [(z, *r) for z, zone in enumerate(uneven) for r in fold_in_order(zone)]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 def test_stream_in_several_batches(spark, zones):
     source, sink, state = (scratch_path(spark, n) for n in ("frames", "alarms", "state"))
     data = [(z, n, [float(v) for v in x]) for z, frames in enumerate(zones) for n, x in enumerate(frames)]
