@@ -21,11 +21,12 @@ TOP_TERMS = 10
 
 # Entries a task holds before it sends its counts on, non-zero counts per block of terms, terms per product at most and
 # at least, columns of one factor of a product.
-HELD_ENTRIES = 200_000
+HELD_ENTRIES = 400_000
 BLOCK_COUNTS = 1 << 16
 MOST_TERMS, LEAST_TERMS = 4096, 64
 COLUMNS = 1024
 
+DOCUMENT = 1 << 40  # above any count of one task
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 
@@ -37,26 +38,27 @@ _PRICES = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of terms and of documents per (lang, source), a row without a term for each group that occurs."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # one number per term: its count, and its documents times DOCUMENT
     entries = 0
 
     def flush() -> pa.RecordBatch:
-        rows = []
-        for (lang, source), (counts, docs) in held.items():
-            rows.append((lang, source, None, 0, 0))
-            rows += [(lang, source, t.decode(), n, docs[t]) for t, n in counts.items()]
+        sizes = [len(counts) for counts in held.values()]
+        names = [pa.array([group[k] for group in held], pa.string()) for k in range(2)]
+        owner = pa.array(np.r_[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(sizes))].astype(np.int64))
+        alone = [None] * len(sizes)
+        terms = pa.array([*(t for counts in held.values() for t in counts), *alone], pa.binary()).cast(pa.string())
+        both = np.array([*(n for counts in held.values() for n in counts.values()), *([0] * len(sizes))], dtype=np.int64)
         held.clear()
-        columns = list(zip(*rows)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
+        columns = [*(n.take(owner) for n in names), terms, pa.array(both % DOCUMENT), pa.array(both // DOCUMENT)]
+        return pa.RecordBatch.from_arrays(columns, schema=_COUNTS)
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            before = len(docs)
-            found = Counter(LETTERS.findall(text.translate(LOWER)))
-            counts.update(found)
-            docs.update(found.keys())
-            entries += len(docs) - before
+            counts = held.setdefault((lang, source), {})
+            before = len(counts)
+            for term, n in Counter(LETTERS.findall(text.translate(LOWER))).items():
+                counts[term] = counts.get(term, 0) + n + DOCUMENT
+            entries += len(counts) - before
             if entries >= HELD_ENTRIES:
                 yield flush()
                 entries = 0
