@@ -1,12 +1,14 @@
 """The alarm logic against a plain simulation on samples, in batch and as a stream."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tremorline.operators import crop
 from tremorline.session import scratch_path
-from tremorline.streaming.crop_stream import stream_crop_alarms
+from tremorline.streaming.crop_stream import stream_events
 
 P = crop.CropParams(threshold=2.0, indent=3, cooling=10, max_time=30, frame_len=5)
 
@@ -128,22 +130,77 @@ def test_status_of_every_frame(spark, uneven, monkeypatch, block):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
-def test_stream_in_several_batches(spark, zones):
-    source, sink, state = (scratch_path(spark, n) for n in ("frames", "alarms", "state"))
-    data = [(z, n, [float(v) for v in x]) for z, frames in enumerate(zones) for n, x in enumerate(frames)]
-    for part in range(3):  # files written one after the other are read one after the other
-        some = [r for r in data if part * 20 <= r[1] < part * 20 + 20 or (part and r[1] == part * 20 - 1)]
-        df = spark.createDataFrame(some, "zone int, frame_no long, samples array<double>")
-        df.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+def streamed(spark, batches, **options):
+    """Events of frames that come in the given batches; the query is stopped and started again between them."""
+    source, sink, state = (scratch_path(spark, n) for n in ("frames", "events", "state"))
+    schema = "zone int, frame_no long, samples array<double>"
+    for some in batches:
+        data = [(z, n, [float(v) for v in x]) for z, n, x in some]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        query = (
+            stream_events(stream, P, **options).writeStream.format("parquet").option("path", sink)
+            .option("checkpointLocation", state).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(sink).toPandas().sort_values(["zone", "close_frame"])
+
+
+def alarms_in(events):
+    found = events[events["kind"] == "alarm"]
+    return {(z, i): list(a) for z, g in found.groupby("zone") for i, a in enumerate(g["samples"])}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_of_shuffled_frames_gives_the_batch_result(spark, zones, uneven, seed):
+    both = zones[:4] + uneven[:5]
+    frames = numbered(both)
+    frames += frames[::17]  # some twice
+    rng = np.random.default_rng(seed)
+    rng.shuffle(frames)
+    cuts = np.sort(rng.integers(0, len(frames), 2))
+    events = streamed(spark, [frames[: cuts[0]], frames[cuts[0] : cuts[1]], frames[cuts[1] :]])
+    assert alarms_in(events) == want(both)
+    assert set(events["kind"]) == {"alarm", "repeated"}
+    assert (events["kind"] == "repeated").sum() == len(numbered(both)[::17])
+
+
+def test_gaps_and_late_frames_are_reported(spark, uneven):
+    both = uneven[:4]
+    frames = numbered(both, gaps=0.2)
+    quiet = [(z, max(n for y, n, _ in frames if y == z) + 1 + k, both[z][0] * 0) for z in range(4) for k in range(60)]
+    taken = {(z, n) for z, n, _ in frames}
+    # almost in order: no frame is 20 numbers late, but for one of a number that was given up, and one more copy of it
+    rng = np.random.default_rng(5)
+    order = sorted(frames + quiet, key=lambda r: r[1] + rng.uniform(0, 20))
+    missing = next((z, n) for z, no, _ in frames for n in range(no) if (z, n) not in taken)
+    late = [(*missing, np.ones(3)), (*missing, np.ones(3))]
+    events = streamed(spark, [order[:300], order[300:], late], lateness=45)
+    assert alarms_in(events) == {(z, i): a for z, zone in enumerate(both) for i, a in enumerate(simulate(zone + [zone[0] * 0] * 60, P))}
+    reported = {(r.zone, n) for r in events[events["kind"] == "gap"].itertuples() for n in range(r.first_frame, r.close_frame + 1)}
+    assert reported == {(z, n) for z, no, _ in frames for n in range(no) if (z, n) not in taken}
+    odd = events[events["kind"].isin(["late", "repeated"])]
+    assert [(r.kind, r.zone, r.close_frame) for r in odd.itertuples()] == [("late", *missing), ("repeated", *missing)]
+
+
+def test_timer_gives_up_what_does_not_come(spark):
+    quiet, loud = [0.0, 1.0, 0.0, 1.0, 0.0], [0.0, 0.0, 90.0, 0.0, 0.0]
+    frames = [(0, 0, quiet), (0, 1, quiet), (0, 3, loud), *((0, n, quiet) for n in range(4, 9))]
+    source, sink, state = (scratch_path(spark, n) for n in ("frames", "events", "state"))
+    data = spark.createDataFrame(frames, "zone int, frame_no long, samples array<double>")
+    data.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(data.schema).parquet(source)
+    events = stream_events(stream, P, lateness=1000, patience=100)
     query = (
-        stream_crop_alarms(stream, P).writeStream.format("parquet").option("path", sink)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+        events.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
+        .trigger(processingTime="200 milliseconds").start()
     )
-    query.awaitTermination()
-    got = spark.read.parquet(sink).toPandas().sort_values(["zone", "close_frame"])
-    got = {(z, i): list(a) for z, g in got.groupby("zone") for i, a in enumerate(g["samples"])}
-    assert got == want(zones)
+    found, until = [], time.monotonic() + 60
+    while len(found) < 2 and time.monotonic() < until and query.isActive:
+        time.sleep(1)
+        found = spark.read.schema(events.schema).parquet(sink).orderBy("close_frame").collect()
+    query.stop()
+    assert [(r.kind, r.first_frame, r.close_frame) for r in found] == [("gap", 2, 2), ("alarm", 1, 7)]
 
 
 def test_open_alarm_is_not_emitted(spark):

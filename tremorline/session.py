@@ -20,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # a Python worker holds a few arrays of the size of a batch
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    # keyed streams hold maps and timers, which only this state store offers
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -42,6 +44,9 @@ def _ship(context: SparkContext) -> None:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
     context.addPyFile(archive)
+    # workers that a stream starts on the driver get no files, only the environment
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = os.pathsep.join([archive, known] if known else [archive])
     context._tremorline_shipped = True
 
 
