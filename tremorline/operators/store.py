@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorline.blocks import attach, block_window, core, number_rows, with_halo
-from tremorline.session import scratch_path
+from tremorline.session import materialize, scratch_path
 
 PARTITIONS = ["zone", "date", "hour"]
-# Innermost folder: the micro-batch that wrote it.
+# Innermost folder: the micro-batch that wrote it, or a merge.
 BATCH, NO_BATCH = "batch", -1
+MERGE_FOLDERS = 16  # folders of a zone-hour that are merged into one
 UNKNOWN = "unknown"  # fixed value: label of an alarm nobody labelled
 MAX_ALARMS = 250  # fixed value: alarms kept per zone and hour
 
@@ -41,25 +45,90 @@ def alarm_name(no: str | Column) -> Column:
 
 def _write(parts: DataFrame, path: str, mode: str) -> None:
     """Rows are rebalanced by partition: small ones share a task, a large one is split over several."""
+    if "probabilities" in parts.columns and isinstance(parts.schema["probabilities"].dataType, T.MapType):
+        parts = parts.withColumn("probabilities", F.to_json("probabilities"))
     writer = parts.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS, BATCH).mode(mode)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def alarm_sink(alarms: DataFrame, path: str, mode: str = "append", batch: int = NO_BATCH) -> None:
-    """Write alarms (zone, date_time, ...) below zone=/date=/hour=/batch=; ``overwrite`` replaces the folders it writes."""
+    """Write alarms (zone, date_time, ...) below zone=/date=/hour=/batch=; ``overwrite`` replaces the folders it writes.
+
+    A map of probabilities is stored as JSON text, which ``decode_probabilities`` reads.
+    """
     parts = alarms if "hour" in alarms.columns else alarm_path_parts(alarms).drop("file_name", "stamp")
     _write(parts.withColumn(BATCH, F.lit(batch)), path, mode)
 
 
-def sink_batch(path: str):
-    """``foreachBatch`` writer: every micro-batch owns folders it can write again after a failure."""
+def sink_batch(path: str, keep: int | None = None):
+    """``foreachBatch`` writer: every micro-batch owns folders it can write again after a failure.
+
+    With ``keep``, the zone-hours that the batch touched hold their newest ``keep`` alarms afterwards.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        alarm_sink(batch, path, mode="overwrite", batch=batch_id)
+        parts = materialize(alarm_path_parts(batch).drop("file_name", "stamp"), "batch")
+        alarm_sink(parts, path, mode="overwrite", batch=batch_id)
+        if keep is not None:
+            retain(batch.sparkSession, path, parts.select(*PARTITIONS).distinct(), keep)
 
     return write
 
 
+# --- retention -----------------------------------------------------------------------------------------------------
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM's own file access, which knows every scheme that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def _of(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame | None:
+    """Stored rows of the touched zone-hours; folders outside their dates are not listed to tasks."""
+    first, last = touched.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return None
+    return _read(spark, path).filter(F.col("date").between(first, last)).join(touched, PARTITIONS, "left_semi")
+
+
+def retain(spark: SparkSession, path: str, touched: DataFrame, keep: int, folders: int = MERGE_FOLDERS) -> None:
+    """Keep the newest ``keep`` alarms of the ``touched`` zone-hours (zone, date, hour); older ones are deleted.
+
+    A zone-hour that has more, or some alarm twice, or ``folders`` folders, is merged: its newest alarms are written to a
+    new folder, and only then its other folders go. After a failure in between, alarms are there twice, never missing, and
+    the next call merges them again. A labelled copy wins over one without label. A merge reads and writes at most
+    ``keep`` alarms per zone-hour and what came since the last one.
+    """
+    touched = materialize(touched, "touched")
+    rows = _of(spark, path, touched)
+    if rows is None:
+        return
+    counts = rows.groupBy(*PARTITIONS).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("alarm_id").alias("alarms"), F.countDistinct(BATCH).alias("folders")
+    )
+    due = counts.filter((F.col("alarms") > keep) | (F.col("n") > F.col("alarms")) | (F.col("folders") >= folders))
+    due = materialize(due.select(*PARTITIONS), "due")
+    if due.isEmpty():
+        return
+    stored = _of(spark, path, due)
+    old = [tuple(r) for r in stored.select(*PARTITIONS, BATCH).distinct().collect()]  # folder names
+    labelled = F.col("label").isNotNull().cast("int") if "label" in stored.columns else F.lit(0)
+    copies = Window.partitionBy(*PARTITIONS, "alarm_id").orderBy(labelled.desc())
+    newest = Window.partitionBy(*PARTITIONS).orderBy(F.desc("date_time"), F.desc("alarm_id"))
+    once = stored.withColumn("__c", F.row_number().over(copies)).filter("__c = 1").drop("__c")
+    kept = once.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= keep).drop("__r")
+    _write(kept.withColumn(BATCH, F.lit(f"merged-{uuid.uuid4().hex}")), path, "append")
+    for zone, date, hour, batch in old:
+        fs, folder = _file_system(spark, f"{path}/zone={zone}/date={date}/hour={hour}/{BATCH}={batch}")
+        fs.delete(folder, True)
+
+
 def stored(spark: SparkSession, alarms: DataFrame, name: str = "store") -> DataFrame:
     """Write alarms to a new store and read it back; partition filters prune folders."""
     path = scratch_path(spark, name)
@@ -69,7 +138,8 @@ def stored(spark: SparkSession, alarms: DataFrame, name: str = "store") -> DataF
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     out = spark.read.parquet(path)
-    return out.withColumns({"zone": F.col("zone").cast("int"), "date": F.col("date").cast("string")})
+    kinds = {"zone": "int", "date": "string", BATCH: "string"}
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
