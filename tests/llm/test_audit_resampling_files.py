@@ -251,6 +251,34 @@ def test_token_files_of_odd_rows(spark, odd_rows, odd_documents, monkeypatch, bl
     assert runs[0] == runs[1]  # whatever the partitions were
 
 
+@pytest.mark.parametrize("known", [200_000, 3])
+def test_encoder_gives_the_ids_of_whole_texts(prose, monkeypatch, known):
+    monkeypatch.setattr(token_files, "KNOWN_PIECES", known)
+    rng = np.random.default_rng(7)
+    texts = [chr(c) + "a " + chr(c) + chr(c) + " b1" + chr(c) for c in range(128)]
+    texts += ["", " ", "  a  b\n\n c \t", "it's I'LL 've don't", "x<|endoftext|>y", "<|endoftext|", prose(1, 50), "a\u00a0b\u3000c"]
+    # characters of all planes, also those on which versions of Unicode differ
+    points = [*range(0x20, 0x3000, 7), *range(0xA000, 0xD800, 31), *range(0xF900, 0x32000, 97)]
+    odd = [chr(p) for p in points] + [chr(p) for p in (1368, 1419, 2191, 8349, 42958, 67515)]
+    for k in range(0, len(odd), 40):
+        texts.append("".join(c + [" ", "", "a", "1", ". ", "  "][rng.integers(6)] for c in odd[k : k + 40]))
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = token_files.Encoder()
+    for part in (texts[:5], texts[5:40], texts[40:], texts):
+        want = [e.ids for e in model.encode_batch(part, add_special_tokens=False)]
+        assert [list(ids) for ids in encoder.encode(part)] == want
+    assert encoder.by_piece and all(other for _, _, other in encoder.cuts)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.Encoder(path)
+    model = Tokenizer.from_file(path)
+    texts = ["Hello World's  end", "", "é 12"]
+    assert not encoder.by_piece
+    assert [list(i) for i in encoder.encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_nothing(spark, no_documents):
     folder = scratch_path(spark, "test-ids")
     manifest = token_files.write_token_files(no_documents, folder)

@@ -17,11 +17,15 @@ before each, so that files left by lost or repeated tasks are never read.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,19 @@ FOOT = struct.Struct("<QQQQ8s")
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+# Pieces of byte-level tokenizers with Python's classes; 1C to 1F are no white space to the tokenizers.
+PIECES = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|[_\x1c-\x1f])+"
+    r"|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+"
+)
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 24  # a file ends with the document that reaches this
 READ_IDS = 1 << 20  # ids unpacked at a time
 BATCH_CHARS = 1 << 20  # characters tokenized at a time
+KNOWN_PIECES = 200_000  # pieces whose ids a worker remembers, and as many older ones
+
+
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def id_bits(vocabulary: int) -> int:
@@ -54,6 +67,10 @@ def id_bits(vocabulary: int) -> int:
 def pack_ids(ids: np.ndarray, width: int) -> np.ndarray:
     """Ids as 64-bit words of ``width`` bits each; filled up to a multiple of 64 ids."""
     rows = -(-len(ids) // 64)
+    if width in WHOLE:  # plain numbers of 1, 2 or 4 bytes
+        plain = np.zeros(rows * 64, dtype=WHOLE[width])
+        plain[: len(ids)] = ids
+        return plain.view("<u8")
     full = np.zeros(rows * 64, dtype=np.uint64)
     full[: len(ids)] = ids
     full = full.reshape(rows, 64)
@@ -68,6 +85,8 @@ def pack_ids(ids: np.ndarray, width: int) -> np.ndarray:
 
 def unpack_ids(words: np.ndarray, width: int) -> np.ndarray:
     """The ids in words made by ``pack_ids``, the filling included."""
+    if width in WHOLE:
+        return words.view(WHOLE[width]).astype("<u4")
     words = words.reshape(-1, width)
     out = np.empty((len(words), 64), dtype="<u4")
     mask = np.uint64((1 << width) - 1)
@@ -88,7 +107,7 @@ def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class IdWriter:
-    """Writes one file; holds one block of ids and the table of its documents."""
+    """Writes one file; holds some blocks of ids and the table of its documents."""
 
     def __init__(self, uri: str, width: int, block: int = BLOCK_IDS):
         if block % 64:
@@ -99,28 +118,33 @@ class IdWriter:
         self.out = fs.open_output_stream(path)
         self.out.write(HEAD.pack(MAGIC, width, block))
         self.at, self.offsets = HEAD.size, []
-        self.rest = np.zeros(0, dtype=np.uint32)
+        self.rest: list[np.ndarray] = []
+        self.held = 0
         self.ids: list[int | None] = []
         self.starts = [0]
 
     def _blocks(self, ids: np.ndarray) -> None:
-        for a in range(0, len(ids), self.block):
-            words = pack_ids(ids[a : a + self.block], self.width)
-            self.offsets.append(self.at)
-            self.out.write(words.tobytes())
-            self.at += words.nbytes
+        """Packs whole blocks, or the last one: a block is a whole number of words, so blocks can be packed together."""
+        words = pack_ids(ids, self.width)
+        self.out.write(words.tobytes())
+        self.offsets += range(self.at, self.at + words.nbytes, self.block // 64 * self.width * 8)
+        self.at += words.nbytes
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        joined = np.concatenate([self.rest, ids.astype(np.uint32, copy=False)])
-        whole = len(joined) // self.block * self.block
-        self._blocks(joined[:whole])
-        self.rest = joined[whole:]
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= 64 * self.block:
+            joined = np.concatenate(self.rest)
+            whole = len(joined) // self.block * self.block
+            self._blocks(joined[:whole])
+            self.rest, self.held = [joined[whole:]], len(joined) - whole
 
     def close(self) -> tuple[int, int, int]:
         """(documents, ids, bytes)."""
-        self._blocks(self.rest)
+        if self.held:
+            self._blocks(np.concatenate(self.rest))
         tables = [
             np.array([*self.offsets, self.at], dtype="<u8"),
             np.array([i or 0 for i in self.ids], dtype="<i8"),
@@ -175,13 +199,76 @@ class IdFile:
         self.file.close()
 
 
-def load_tokenizer(path: str | None):
-    """A tokenizer from its JSON file; by default the public byte-level vocabulary of 50k entries."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts from a tokenizer's JSON file, by default the public byte-level vocabulary of 50k entries.
+
+    A byte-level tokenizer cuts a text into pieces by a pattern and encodes each alone, so pieces met before need not be
+    encoded again. The pieces are found by Python's ``re`` (or ``regex``, which knows more classes but is slower). Their
+    Unicode tables may be of another version than the tokenizer's, or see other classes: every character beyond ASCII is
+    tried once in a probe, and a text with one that both read differently than the tokenizer is encoded whole. So are texts
+    that contain a special token, and all texts of other kinds of tokenizers.
+    """
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
-    return Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+    def __init__(self, path: str | None = None):
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core already
+        self.model = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
+        self.size = self.model.get_vocab_size()
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        # (pattern, characters that it sees as the tokenizer does, others)
+        self.cuts = [(re.compile(PIECES), set(), set()), (regex.compile(public_tokenizers.PATTERN), set(), set())]
+        self.known: dict[str, bytes] = {}  # ids of pieces met since the last turn, and of those of the turn before
+        self.older: dict[str, bytes] = {}
+        cutter = self.model.pre_tokenizer
+        kind = json.loads(cutter.__getstate__()) if cutter is not None else {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space")
+        self.by_piece = bool(plain) and self.model.normalizer is None
+
+    def _alike(self, pattern, char: str) -> bool:
+        """Whether the pattern and the tokenizer see the character as the same of letter, digit, space and other."""
+        probe = f"a{char}1{char} {char}{char}.{char}"
+        return [at for _, at in self.model.pre_tokenizer.pre_tokenize_str(probe)] == [m.span() for m in pattern.finditer(probe)]
+
+    def pieces(self, text: str) -> list[str] | None:
+        """The pieces of a text; None if it has to be encoded whole."""
+        if not self.by_piece or any(t in text for t in self.special):
+            return None
+        if text.isascii():
+            return self.cuts[0][0].findall(text)
+        chars = set(text)
+        for pattern, same, other in self.cuts:
+            for char in chars - same - other:
+                (same if self._alike(pattern, char) else other).add(char)
+            if other.isdisjoint(chars):
+                return pattern.findall(text)
+        return None
+
+    def _all(self, texts: list[str]) -> list[bytes]:
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN_PIECES:
+            self.known, self.older = {}, self.known
+        cut = [self.pieces(t) for t in texts]
+        missing = set(chain.from_iterable(some for some in cut if some)).difference(self.known)
+        again = {p for p in missing if p in self.older}
+        self.known.update((p, self.older[p]) for p in again)
+        new = list(missing - again)
+        self.known.update(zip(new, self._all(new)))
+        whole = iter(self._all([t for t, some in zip(texts, cut) if some is None]))
+        get = self.known.__getitem__
+        raw = [next(whole) if some is None else b"".join(map(get, some)) for some in cut]
+        return [np.frombuffer(r, "<u4") for r in raw]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str | None = None) -> Encoder:
+    """One encoder per tokenizer and process: a worker keeps it, and the pieces it knows, from task to task."""
+    return Encoder(path)
 
 
 def _some(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -196,43 +283,6 @@ def _some(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, tie, row, n, ids) with the ids of each whole text and the end id as packed words.
-
-    ``tie`` orders texts of one doc_id, ``row`` tells equal rows apart.
-    """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load_tokenizer(tokenizer)
-        width = id_bits(model.get_vocab_size())
-        for batch in batches:
-            texts = batch[3].to_pylist()
-            for a, b in _some(texts):
-                sizes, packed = [], []
-                for found in model.encode_batch_fast(texts[a:b], add_special_tokens=False):
-                    ids = np.array([*found.ids, end_id], dtype=np.uint32)
-                    sizes.append(len(ids))
-                    packed.append(pack_ids(ids, width).tobytes()[: -(-len(ids) * width // 8)])
-                kept = [batch[c].slice(a, b - a) for c in range(3)]
-                columns = [*kept, pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "row", "n", "ids"])
-
-    text = text_of()
-    read = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("tie"),
-        F.monotonically_increasing_id().alias("row"),
-        text.alias("text"),
-    )
-    return read.mapInArrow(encode, "doc_id long, tie long, row long, n long, ids binary")
-
-
-def _unpadded(packed: bytes, n: int, width: int) -> np.ndarray:
-    whole = np.zeros(-(-n // 64) * width, dtype="<u8")
-    whole.view(np.uint8)[: len(packed)] = np.frombuffer(packed, np.uint8)
-    return unpack_ids(whole, width)[:n]
-
-
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -245,31 +295,41 @@ def write_token_files(
 
     ``first`` counts the ids in all files before. Null texts are empty and hold the end id alone; null ids come last;
     rows of one doc_id are ordered by a hash of their text, equal rows are written each; an empty table gives no files;
-    other columns are ignored. Texts are tokenized where they are read. Only the packed ids are sorted, by ranges of
-    (doc_id, tie, row): no two rows share that key, so a group of equal rows can be split. A task streams its range.
+    other columns are ignored. Texts are sorted by ranges of (doc_id, hash, row): no two rows share that key, so a group of
+    equal rows can be split. A task streams its range through the tokenizer into files.
     """
     spark = docs.sparkSession
-    model = load_tokenizer(tokenizer)
-    width = id_bits(model.get_vocab_size())
-    if end_id >= model.get_vocab_size():
+    vocabulary = encoder(tokenizer).size
+    width = id_bits(vocabulary)
+    if end_id >= vocabulary:
         raise ValueError("the end id is outside the vocabulary")
-    tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
+    text = text_of()
+    read = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
+        text.alias("text"),
+    )
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
-    ranged = tokens.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = read.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    end = np.array([end_id], dtype="<u4")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        model = encoder(tokenizer)
         done: list[tuple] = []
         writer, name = None, ""
         for batch in batches:
-            for doc_id, n, packed in zip(*(batch[c].to_pylist() for c in ("doc_id", "n", "ids"))):
-                if writer is None:
-                    name = f"part-{pid:06d}-{len(done):06d}-{attempt}.ids"
-                    writer = IdWriter(f"{folder}/{name}", width, block)
-                writer.add(doc_id, _unpadded(packed, n, width))
-                if writer.starts[-1] >= file_ids:
-                    done.append((name, pid, len(done), *writer.close(), width))
-                    writer = None
+            ids, texts = batch[0].to_pylist(), batch[1].to_pylist()
+            for a, b in _some(texts):
+                for doc_id, found in zip(ids[a:b], model.encode(texts[a:b])):
+                    if writer is None:
+                        name = f"part-{pid:06d}-{len(done):06d}-{attempt}.ids"
+                        writer = IdWriter(f"{folder}/{name}", width, block)
+                    writer.add(doc_id, np.concatenate([found, end]))
+                    if writer.starts[-1] >= file_ids:
+                        done.append((name, pid, len(done), *writer.close(), width))
+                        writer = None
         if writer is not None:
             done.append((name, pid, len(done), *writer.close(), width))
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
