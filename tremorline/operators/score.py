@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorline.functions.extract import all_features
@@ -12,11 +12,25 @@ from tremorline.operators.preprocess import TimePreprocessing
 from tremorline.operators.spectrum import FreqPreprocessing
 
 
-def alarm_signals(samples: DataFrame, key: str = "CAST(zone AS BIGINT) * 1000000000 + alarm_no") -> DataFrame:
+# An alarm's id: its zone above these bits, its number in them.
+NUMBER_BITS = 40
+
+
+def alarm_id(zone: str = "zone", number: str = "alarm_no") -> Column:
+    return F.shiftleft(F.col(zone).cast("long"), NUMBER_BITS) + F.col(number)
+
+
+def zone_of(id: str = "id") -> Column:
+    return F.shiftright(id, NUMBER_BITS).cast("int")
+
+
+def number_of(id: str = "id") -> Column:
+    return F.col(id).bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+
+
+def alarm_signals(samples: DataFrame) -> DataFrame:
     """Alarm samples (zone, alarm_no, time, value) as a signal; the id combines zone and alarm number."""
-    return samples.select(
-        F.expr(key).cast("long").alias("id"), F.col("time").cast("long").alias("time"), F.col("value").alias("signal_raw")
-    )
+    return samples.select(alarm_id().alias("id"), F.col("time").cast("long").alias("time"), F.col("value").alias("signal_raw"))
 
 
 def features_of(
@@ -34,6 +48,4 @@ def score_alarms(
 ) -> DataFrame:
     """(zone, alarm_no, probabilities) of cropped alarms."""
     scored = predict_proba(model, features_of(alarm_signals(samples), time, freq))
-    return scored.select(
-        F.expr("id div 1000000000").cast("int").alias("zone"), (F.col("id") % 1000000000).alias("alarm_no"), "probabilities"
-    )
+    return scored.select(zone_of().alias("zone"), number_of().alias("alarm_no"), "probabilities")

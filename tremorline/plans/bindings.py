@@ -70,12 +70,17 @@ def channels_sql(mean_window: int = 128) -> str:
 # --- zones and frames ----------------------------------------------------------------------------------------------
 
 
-def zone_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(zone, sample_idx, value): every zone is one continuous recording."""
+def timed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zone, sample_idx, value, date_time): every zone is one continuous recording."""
     events = table(spark, sf_dir, "events").select(
         (F.col("user_id") % ZONES).cast("int").alias("zone"), "ts", "event_id", "value"
     )
-    return number_rows(events, "zone", micros(), ["event_id"], "sample_idx").select("zone", "sample_idx", "value")
+    numbered = number_rows(events, "zone", micros(), ["event_id"], "sample_idx")
+    return numbered.select("zone", "sample_idx", "value", F.col("ts").cast("timestamp").alias("date_time"))
+
+
+def zone_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timed_samples(spark, sf_dir).drop("date_time")
 
 
 def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +88,21 @@ def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_samples(spark, sf_dir).withColumn("frame_no", F.expr(f"sample_idx div {FRAME}"))
 
 
+def frame_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zone, frame_no, samples, date_time): whole frames, at the time of their last sample."""
+    frames = timed_samples(spark, sf_dir).withColumn("frame_no", F.expr(f"sample_idx div {FRAME}"))
+    samples = F.sort_array(F.collect_list(F.struct("sample_idx", "value")))["value"]
+    return frames.groupBy("zone", "frame_no").agg(samples.alias("samples"), F.max("date_time").alias("date_time"))
+
+
+def uneven_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(zone, frame_no, sample_idx, value) with frames of 2, 3 and 7 samples and gaps in their numbers."""
+    place = F.col("sample_idx") % 12
+    part = F.when(place < 2, 0).when(place < 5, 1).otherwise(2)
+    number = F.expr("sample_idx div 12 * 3 + sample_idx div 60 * 4")
+    return zone_samples(spark, sf_dir).withColumn("frame_no", number + part)
+
+
 ZONE_SAMPLES = f"""samples AS (
   SELECT CAST(user_id % {ZONES} AS INTEGER) AS zone,
          row_number() OVER (PARTITION BY user_id % {ZONES} ORDER BY ts, event_id) - 1 AS sample_idx, value
@@ -92,6 +112,20 @@ FRAMES = f"""{ZONE_SAMPLES}, frames AS (
   SELECT zone, sample_idx // {FRAME} AS frame_no, sample_idx, value FROM samples)"""
 
 
+FRAME_TIMES = f"""times AS (
+  SELECT zone, sample_idx // {FRAME} AS frame_no, max(ts) AS date_time
+  FROM (SELECT CAST(user_id % {ZONES} AS INTEGER) AS zone, ts,
+               row_number() OVER (PARTITION BY user_id % {ZONES} ORDER BY ts, event_id) - 1 AS sample_idx FROM events)
+  GROUP BY ALL)"""
+
+# frame_no is the place of a frame, as the machine takes them one after the other; raw_no is its number
+UNEVEN_FRAMES = f"""{ZONE_SAMPLES}, raw AS (
+  SELECT zone, sample_idx, value, (sample_idx // 12) * 3 + (sample_idx // 60) * 4
+         + CASE WHEN sample_idx % 12 < 2 THEN 0 WHEN sample_idx % 12 < 5 THEN 1 ELSE 2 END AS raw_no FROM samples),
+frames AS (
+  SELECT zone, dense_rank() OVER (PARTITION BY zone ORDER BY raw_no) - 1 AS frame_no, raw_no, sample_idx, value FROM raw)"""
+
+
 # --- arrays --------------------------------------------------------------------------------------------------------
 
 

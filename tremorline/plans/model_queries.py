@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorline.functions.transformer import SeriesFeatures, signal_pipeline
-from tremorline.operators import crop, model, score
-from tremorline.operators.preprocess import TimePreprocessing
-from tremorline.operators.spectrum import FreqPreprocessing
+from tremorline.operators import crop, model, score, store
 from tremorline.plans import bindings as b
 from tremorline.plans.registry import query
-from tremorline.plans.signal_queries import CROP_SQL, PARAMS
+from tremorline.plans.signal_queries import CROP_SQL, MACHINE, PARAMS
 from tremorline.session import materialize, scratch_path
-from tremorline.streaming.crop_stream import stream_crop_alarms
+from tremorline.streaming.alarm_chain import alarm_chain, read_chain
+from tremorline.streaming.crop_stream import stream_crop_alarms, stream_events
 
 TREES = 100
 SIZE = 64
@@ -114,36 +113,65 @@ def misclassified_ids(spark, sf):
 @query("score_alarms")
 def score_alarms(spark, sf):
     """Alarm messages: cropped alarms through features and a forest trained on the same alarms by zone."""
-    samples = materialize(crop.alarm_samples(b.frame_samples(spark, sf), PARAMS), "samples")
-    time, freq = TimePreprocessing(mean_window=16), FreqPreprocessing(n_bins=10)
-    table = materialize(score.features_of(score.alarm_signals(samples), time, freq), "features")
-    labelled = table.withColumn("label", F.concat(F.lit("z"), F.expr("id div 1000000000 % 2")))
+    frames = b.frame_samples(spark, sf)
+    samples = materialize(crop.alarm_samples(frames, PARAMS), "samples")
+    table = materialize(score.features_of(score.alarm_signals(samples)), "features")
+    labelled = table.withColumn("label", F.concat(F.lit("z"), score.zone_of() % 2))
     fitted = model.train_baseline_rf(labelled, seed=1, trees=TREES)
     scored = model.predict_proba(fitted, table)
-    return scored.select(
-        F.expr("CAST(id div 1000000000 AS INTEGER)").alias("nchn"),
-        F.lit(model.WIDTH).alias("width"),
-        model.top_class("probabilities").alias("alarm"),
-        (F.col("id") % 1000000000).alias("alarm_no"),
-    )
+    closed = crop.crop_alarms(frames, PARAMS).select("zone", "alarm_no", F.col("close_frame").alias("frame_no"))
+    times = b.timed_samples(spark, sf).groupBy("zone", F.expr(f"sample_idx div {b.FRAME}").alias("frame_no"))
+    timed = closed.join(times.agg(F.max("date_time").alias("date_time")), ["zone", "frame_no"])
+    timed = timed.select(score.alarm_id().alias("id"), "zone", "date_time")
+    return model.alarm_message(scored.join(timed, "id"))
 
 
 @query("stream_crop_alarms", f"SELECT zone, close_frame, first_frame, n_samples FROM ({CROP_SQL})")
 def run_stream_crop_alarms(spark, sf):
     """Frames written as files, streamed until all are read."""
-    source, sink, state = (scratch_path(spark, n) for n in ("frames", "alarms", "state"))
-    frames = b.frame_samples(spark, sf).groupBy("zone", "frame_no").agg(
-        F.sort_array(F.collect_list(F.struct("sample_idx", "value")))["value"].alias("samples")
-    )
-    frames.write.parquet(source)
-    stream = spark.readStream.schema(frames.schema).parquet(source)
-    running = (
-        stream_crop_alarms(stream, PARAMS)
-        .writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
+    sink = scratch_path(spark, "alarms")
+    stream = frame_stream(spark, sf)
+    _finish(stream_crop_alarms(stream, PARAMS).writeStream.format("parquet").option("path", sink), spark)
     return spark.read.parquet(sink).select("zone", "close_frame", "first_frame", "n_samples")
+
+
+def frame_stream(spark, sf, files: int = 3):
+    """Frames out of order: dealt to files at random, of which a batch reads one."""
+    source = scratch_path(spark, "frames")
+    frames = b.frame_arrays(spark, sf)
+    frames.repartition(files, F.xxhash64("zone", "frame_no")).write.parquet(source)
+    return spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _finish(writer, spark):
+    state = scratch_path(spark, "state")
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def by_length(signals):
+    """A scorer in place of a forest: alarms of more than 60 samples are likely long."""
+    share = F.when(F.count(F.lit(1)) > 60, 0.75).otherwise(0.25)
+    shares = F.create_map(F.lit("long"), share, F.lit("short"), 1 - share)
+    return signals.groupBy("id").agg(shares.alias("probabilities"))
+
+
+@query("alarm_chain", f"""{MACHINE}, {b.FRAME_TIMES}, alarms AS (
+  SELECT c.zone, c.frame_no, c.n_samples, t.date_time, CASE WHEN c.n_samples > 60 THEN 'long' ELSE 'short' END AS alarm,
+         row_number() OVER (PARTITION BY c.zone, strftime(t.date_time, '%Y_%m_%d_%H')
+                            ORDER BY t.date_time DESC, c.frame_no DESC) AS r
+  FROM closed c JOIN times t ON t.zone = c.zone AND t.frame_no = c.frame_no)
+SELECT 'message' AS sink, zone, 1 AS width, alarm, round(epoch_us(date_time) / 1000000, 6) AS time, NULL::INTEGER AS n
+FROM alarms
+UNION ALL
+SELECT 'store', zone, 1, alarm, round(epoch_us(date_time) / 1000000, 6), CAST(n_samples AS INTEGER)
+FROM alarms WHERE r <= 250""")
+def run_alarm_chain(spark, sf):
+    """Frames streamed out of order through cropping and scoring to the messages and the store, which are read back."""
+    root = scratch_path(spark, "chain")
+    _finish(stream_events(frame_stream(spark, sf), PARAMS).writeStream.foreachBatch(alarm_chain(by_length, root)), spark)
+    written = read_chain(spark, root)
+    time = F.unix_micros("date_time") / 1e6
+    alarm = model.top_class(store.decode_probabilities("probabilities"))
+    kept = written["store"].select(F.lit("store").alias("sink"), "zone", F.lit(1).alias("width"), alarm.alias("alarm"), time.alias("time"), F.size("signal").alias("n"))
+    sent = written["messages"].select(F.lit("message"), "nchn", "width", "alarm", "timestamp", F.lit(None).cast("int"))
+    return b.rounded(kept.union(sent), "time")

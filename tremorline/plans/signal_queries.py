@@ -86,6 +86,16 @@ def crop_alarms(spark, sf):
     return crop.crop_alarms(b.frame_samples(spark, sf), PARAMS)
 
 
+@query("crop_alarms_uneven", f"""{MACHINE.replace(b.FRAMES, b.UNEVEN_FRAMES)},
+numbers AS (SELECT DISTINCT zone, frame_no, raw_no FROM frames)
+SELECT c.zone, c.alarm_no, f.raw_no AS first_frame, c.first_skip, l.raw_no AS close_frame, c.n_samples
+FROM closed c JOIN numbers f ON f.zone = c.zone AND f.frame_no = c.first_frame
+JOIN numbers l ON l.zone = c.zone AND l.frame_no = c.frame_no""")
+def crop_alarms_uneven(spark, sf):
+    """Frames far shorter than the nominal length, of changing lengths and with gaps in their numbers."""
+    return crop.crop_alarms(b.uneven_frames(spark, sf), PARAMS)
+
+
 @query("pending_alarm_status", f"""{MACHINE}
 SELECT zone, frame_no, status, rec AS alarm_flag, cached FROM machine""")
 def pending_alarm_status(spark, sf):

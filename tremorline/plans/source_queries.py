@@ -69,10 +69,18 @@ def unknown_label_report(spark, sf):
 
 @query("alarm_sink", f"""WITH {LABELLED}
 SELECT zone, strftime(date_time, '%Y_%m_%d') AS date, strftime(date_time, '%Hh') AS hour, alarm_id, label,
-       CAST(len(embedding) AS INTEGER) AS n FROM alarms""")
+       CAST(len(embedding) AS INTEGER) AS n, round(CAST(embedding[1] AS DOUBLE), 2) AS first,
+       round(CAST(embedding[2] AS DOUBLE), 2) AS second FROM alarms""")
 def alarm_sink(spark, sf):
-    out = store.stored(spark, labelled_alarms(spark, sf))
-    return out.select("zone", "date", "hour", "alarm_id", "label", F.size("signal").alias("n"))
+    alarms = labelled_alarms(spark, sf)
+    shares = [F.round(F.get("signal", F.lit(i)), 2) for i in range(2)]
+    shares = F.create_map(F.lit("first"), shares[0], F.lit("second"), shares[1])
+    out = store.stored(spark, alarms.withColumn("probabilities", shares))
+    read = store.decode_probabilities("probabilities")  # stored as JSON text
+    return out.select(
+        "zone", "date", "hour", "alarm_id", "label", F.size("signal").alias("n"), read["first"].alias("first"),
+        read["second"].alias("second"),
+    )
 
 
 @query("demux_channel", """SELECT vec_id AS id, CAST(t AS INTEGER) AS tick, round(CAST(embedding[8 * t + 4] AS DOUBLE), 6) AS value

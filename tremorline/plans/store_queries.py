@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tremorline.operators import store
 from tremorline.plans import bindings as b
 from tremorline.plans.registry import query
+from tremorline.session import scratch_path
 
 
 def alarms(spark, sf):
@@ -24,9 +25,15 @@ def alarm_path_parts(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY zone, date, hour ORDER BY date_time DESC, alarm_id DESC) AS r FROM alarms)
 SELECT zone, date, hour, alarm_id, printf('alarm %05d', row_number()
        OVER (PARTITION BY zone, date, hour ORDER BY date_time, alarm_id)) AS alarm_name
-FROM kept WHERE r <= 3""")
+FROM kept WHERE r <= 250""")
 def hour_ring_buffer(spark, sf):
-    out = store.hour_ring_buffer(alarms(spark, sf), keep=3)
+    """Written to a store in two batches with retention, and read back from it."""
+    path = scratch_path(spark, "ring")
+    write = store.sink_batch(path, store.MAX_ALARMS)
+    base = b.alarms(spark, sf).select("zone", "date_time", "alarm_id", "label", "value")
+    for batch in range(2):
+        write(base.filter(F.col("alarm_id") % 2 == batch), batch)
+    out = store.hour_ring_buffer(store.read_store(spark, path))
     return out.select("zone", "date", "hour", "alarm_id", "alarm_name")
 
 

@@ -28,9 +28,7 @@ def score_batch(
     """
 
     def run(alarms: DataFrame, batch_id: int) -> None:
-        kept = materialize(alarms, "batch").withColumn(
-            "id", F.expr("CAST(zone AS BIGINT) * 1000000000 + close_frame")
-        )
+        kept = materialize(alarms.withColumn("id", F.monotonically_increasing_id()), "batch")
         signals = kept.select("id", F.posexplode("samples").alias("time", "signal_raw"))
         scored = predict_proba(model, features_of(signals, time, freq))
         sink(
