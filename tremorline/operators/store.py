@@ -44,10 +44,11 @@ def alarm_name(no: str | Column) -> Column:
 
 
 def _write(parts: DataFrame, path: str, mode: str) -> None:
-    """Rows are rebalanced by partition: small ones share a task, a large one is split over several."""
+    """The rows of a zone-hour, of which time bounds the number, are written by one task; many small ones are spread."""
     if "probabilities" in parts.columns and isinstance(parts.schema["probabilities"].dataType, T.MapType):
         parts = parts.withColumn("probabilities", F.to_json("probabilities"))
-    writer = parts.hint("rebalance", *PARTITIONS).write.partitionBy(*PARTITIONS, BATCH).mode(mode)
+    spread = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PARTITIONS)
+    writer = spread.write.partitionBy(*PARTITIONS, BATCH).mode(mode)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

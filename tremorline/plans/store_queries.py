@@ -27,12 +27,13 @@ SELECT zone, date, hour, alarm_id, printf('alarm %05d', row_number()
        OVER (PARTITION BY zone, date, hour ORDER BY date_time, alarm_id)) AS alarm_name
 FROM kept WHERE r <= 250""")
 def hour_ring_buffer(spark, sf):
-    """Written to a store in two batches with retention, and read back from it."""
+    """Written to a store in two batches with retention, the last day after the others, and read back from it."""
     path = scratch_path(spark, "ring")
     write = store.sink_batch(path, store.MAX_ALARMS)
     base = b.alarms(spark, sf).select("zone", "date_time", "alarm_id", "label", "value")
-    for batch in range(2):
-        write(base.filter(F.col("alarm_id") % 2 == batch), batch)
+    last = base.select((F.max("date_time") - F.expr("INTERVAL 1 DAY")).alias("t")).first()["t"]
+    for batch, some in enumerate((F.col("date_time") <= F.lit(last), F.col("date_time") > F.lit(last))):
+        write(base.filter(some), batch)
     out = store.hour_ring_buffer(store.read_store(spark, path))
     return out.select("zone", "date", "hour", "alarm_id", "alarm_name")
 
