@@ -12,7 +12,8 @@ from tremorline.operators import store
 from tremorline.plans import bindings as b
 from tremorline.plans.registry import query
 from tremorline.session import scratch_path
-from tremorline.sources import stores, traces
+from tremorline.sources import stores, trace_source, traces
+from tremorline.streaming import framer
 
 def joined(ds):
     return b.rounded(ds.signals.join(ds.labels, "id"), "signal_raw")
@@ -128,10 +129,48 @@ def trace_files(spark, sf):
     return files.withColumnRenamed("key", "path")
 
 
+def _write_files(folder: str):
+    """Write the contents of files to the shared folder; the attempt that ends last leaves the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = trace_source.open_folder(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                with fs.open_output_stream(f"{root}/{path.rpartition('/')[2]}") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    return run
+
+
 @query("decode_trace_files", f"""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS trace_no, vec_id % 5 AS trace,
        printf('/traces/%08d.rtd', vec_id // 5) AS path, {COUNTS} AS samples FROM embeddings""")
 def decode_trace_files(spark, sf):
-    return traces.decode_trace_files(trace_files(spark, sf))
+    """Files written to the shared folder and read by the trace source."""
+    folder = scratch_path(spark, "traces")
+    trace_files(spark, sf).mapInArrow(_write_files(folder), "path string").count()
+    name = F.concat(F.lit("/traces/"), F.substring_index("path", "/", -1))
+    return trace_source.read_traces(spark, folder, 1 << 20).withColumn("path", name)
+
+
+@query("stream_frames", f"""SELECT z AS zone, vec_id // 20 AS frame_no, list(CAST(c[z + 1] AS DOUBLE) ORDER BY vec_id) AS samples
+FROM (SELECT vec_id, {COUNTS} AS c FROM embeddings), LATERAL (SELECT unnest([33, 44, 55]) AS z) z
+GROUP BY z, vec_id // 20 HAVING count(*) = 20""")
+def stream_frames(spark, sf):
+    """Messages of seven traces, dealt to files at random, streamed into frames of twenty samples."""
+    groups = counts(spark, sf).groupBy((F.expr("id div 7") * 7).alias("key")).agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("id", "samples")))["samples"]).alias("values")
+    )
+    sent = groups.mapInArrow(_encoder(traces.encode_trace_message, 64), "key long, content binary")
+    source, sink = scratch_path(spark, "messages"), scratch_path(spark, "frames")
+    sent.toDF("first_trace", "payload").repartition(3, F.xxhash64("first_trace")).write.parquet(source)
+    schema = "first_trace long, payload binary"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    frames = framer.stream_frames(framer.message_samples(stream), 20)
+    running = frames.writeStream.format("parquet").option("path", sink).trigger(availableNow=True)
+    running.option("checkpointLocation", scratch_path(spark, "state")).start().awaitTermination()
+    return spark.read.schema(frames.schema).parquet(sink)
 
 
 @query("trace_inventory", """SELECT count(DISTINCT vec_id // 5) AS files, count(*) AS traces, CAST(64 AS INTEGER) AS trace_size
