@@ -71,3 +71,58 @@ def test_dense_ids(spark):
 def test_shuffled_rank_is_a_permutation(spark):
     got = blocks.shuffled_rank(spark.range(1000), 3).toPandas()
     assert sorted(got["rank"]) == list(range(1000)) and set(got["n"]) == {1000}
+
+
+def slots(df, keys, by, limit):
+    from tremorline import blocks
+
+    slotted, offsets = blocks._split_large(df, keys, by, limit)
+    assert offsets is not None
+    return slotted.groupBy(*keys, "__slot").count().collect()
+
+
+def skewed_values(kind, n=3000):
+    rng = np.random.default_rng(8)
+    return {
+        "outlier": np.r_[rng.normal(size=n - 1), 1e12],
+        "two sides": np.r_[rng.normal(size=n - 2), -1e300, 1.7e308],
+        "powers": 2.0 ** rng.integers(-900, 900, n) * rng.random(n),
+        "infinite": np.r_[rng.normal(size=n - 4), np.inf, -np.inf, np.inf, np.nan],
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["outlier", "two sides", "powers", "infinite"])
+def test_slots_of_any_distribution_stay_small(spark, kind):
+    values = skewed_values(kind)
+    rows = [(1, float(v)) for v in values] + [(2 + i % 300, float(i)) for i in range(6000)]  # a third in one key
+    df = spark.createDataFrame(rows, "id long, v double")
+    found = slots(df, ["id"], F.col("v"), 100)
+    assert max(r["count"] for r in found) < 200
+    assert sum(r["count"] for r in found) == len(rows)
+
+
+@pytest.mark.parametrize("kind", ["outlier", "two sides", "powers"])
+def test_quantiles_and_numbers_of_any_distribution(spark, kind):
+    from tremorline import blocks
+
+    values = skewed_values(kind, 700)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)] + [(2, 0, 5.0)], "id long, i long, v double")
+    got = blocks.exact_quantiles(df, "id", "v", {"a": 0.1, "m": 0.5}, limit=50).filter("id = 1").first()
+    assert got["a"] == pytest.approx(np.quantile(values, 0.1)) and got["m"] == pytest.approx(np.median(values))
+    numbered = blocks.number_rows(df, "id", F.col("v"), ["i"], limit=50).filter("id = 1").orderBy("time").collect()
+    assert [r["time"] for r in numbered] == list(range(700))
+    assert [r["v"] for r in numbered] == sorted(values)
+
+
+@pytest.mark.parametrize("rows", [16, 1 << 16])
+def test_dense_ids_of_sparse_numbers(spark, monkeypatch, rows):
+    from tremorline import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+    rng = np.random.default_rng(4)
+    high = 2**62 if rows > 16 else 2**30
+    ids = sorted({*map(int, rng.integers(-high, high, 300)), 0, 1, -1, high, -high, *range(50, 90)})
+    df = spark.createDataFrame([(i,) for i in ids * 2], "id long")
+    got = blocks.dense_ids(df).orderBy("id").collect()
+    assert [(r["id"], r["new_id"]) for r in got] == [(i, k) for k, i in enumerate(ids)]
+    assert blocks.dense_ids(df.filter("id is null")).count() == 0

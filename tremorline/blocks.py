@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorline.session import materialize
+
 # Rows of one series sorted together in a task (a block of doubles is a few MB).
 BLOCK_ROWS = 1 << 16
 
@@ -135,7 +137,9 @@ def longest(df: DataFrame, keys: str | Sequence[str] = "id") -> int:
 def _split_large(
     df: DataFrame, keys: list[str], by: Column, limit: int, largest: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Add ``__slot``: 0 for ordinary groups, a monotone range of ``by`` for groups above ``limit`` rows.
+    """Add ``__slot``: one value for ordinary groups, ranges of ``by`` in ascending order for groups above ``limit`` rows.
+
+    Ranges above ``limit`` rows are cut again, whatever the distribution, until they hold fewer rows or a single value.
 
     ``__n`` is the size of a split group, else NULL. Also returns ``(keys, __slot, __before)``: how many rows of a
     split group lie in lower slots; None if no group is that large, in which case nothing more is read or joined.
@@ -147,20 +151,65 @@ def _split_large(
         slot = F.col("block") if single else F.lit(0).cast("long")
         return df.withColumns({"__slot": slot, "__n": F.lit(None).cast("long")}), None
     measured = df.withColumn("__by", by.cast("double"))
-    large = (
-        measured.groupBy(*keys)
-        .agg(F.count("__by").alias("__n"), F.min("__by").alias("__lo"), F.max("__by").alias("__hi"))
-        .filter((F.col("__n") > limit) & (F.col("__hi") > F.col("__lo")))
-        .withColumn("__parts", F.ceil(F.col("__n") / limit) * PARTS_PER_SPLIT)
-    )
-    place = F.floor((F.col("__by") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__parts"))
-    slot = F.coalesce(F.least(place, F.col("__parts") - 1), F.lit(0)).cast("long")
-    bounded = F.broadcast(large)  # at most rows / limit groups, see SPLIT_ROWS
+    sizes = measured.groupBy(*keys).agg(F.count("__by").alias("__n")).filter(F.col("__n") > limit)
+    bounded = F.broadcast(materialize(sizes, "large"))  # at most rows / limit groups, see SPLIT_ROWS
+    slot = F.when(F.col("__n").isNull(), F.array(F.lit(0))).otherwise(F.array(_octave(F.col("__by"))))
     slotted = measured.join(bounded, keys, "left").withColumn("__slot", slot)
-    counts = measured.join(bounded, keys).groupBy(*keys, slot.alias("__slot")).agg(F.count(F.lit(1)).alias("__cnt"))
+    while True:
+        wide = _wide_slots(slotted, keys, limit)
+        if wide is None:
+            break
+        slotted = _refined(slotted, wide, keys)
+    counts = slotted.filter(F.col("__n").isNotNull()).groupBy(*keys, "__slot").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "__slot", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__before"))
-    return slotted.drop("__by", "__lo", "__hi", "__parts"), offsets
+    return slotted.drop("__by"), offsets
+
+
+def _octave(v: Column) -> Column:
+    """A number that ascends with ``v`` and is the same for values of one sign and power of two; null comes first."""
+    power = F.floor(F.log2(F.abs(v))).cast("int") + 1100
+    infinite = F.lit(float("inf"))
+    return (
+        F.when(v.isNull(), -4000).when(F.isnan(v), 4000).when(v == infinite, 3000).when(v == -infinite, -3000)
+        .when(v == 0, 0).when(v > 0, power).otherwise(-power)
+    )
+
+
+def _wide_slots(slotted: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Slots of split groups that still hold more than ``limit`` rows of different values, with their bounds."""
+    infinite = F.lit(float("inf"))
+    finite = F.when((F.col("__by") < infinite) & (F.col("__by") > -infinite), F.col("__by"))
+    wide = (
+        slotted.filter(F.col("__n").isNotNull())
+        .groupBy(*keys, "__slot")
+        .agg(F.count("__by").alias("__rows"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
+        .filter((F.col("__rows") > limit) & (F.col("__hi") > F.col("__lo")))
+        .withColumn("__parts", (F.ceil(F.col("__rows") / limit) * PARTS_PER_SPLIT).cast("int"))
+        .drop("__rows")
+    )
+    wide = materialize(wide, "wide")
+    return None if wide.isEmpty() else wide
+
+
+def _refined(slotted: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Cut wide slots into parts of equal width between their own smallest and largest value.
+
+    A slot is the path of its parts, so that slots compare like their values. The first part is the octave, so that values
+    of a slot differ by less than a factor of two; each further step tells at least six bits more of 52 apart.
+    """
+    v, lo, hi, parts = (F.col(c) for c in ("__by", "__lo", "__hi", "__parts"))
+    share = (v / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves, as a difference of large values could overflow
+    inner = F.least(F.floor(share * parts).cast("int"), parts - 1)
+    place = F.when(v.isNull() | (v <= lo), 0).when(v >= hi, parts - 1).otherwise(inner)
+    renamed = wide.select(*keys, F.col("__slot").alias("__wide"), "__lo", "__hi", "__parts")
+    cond = (F.col("__slot") == F.col("__wide")) & (F.col("__n").isNotNull())
+    for k in keys:
+        renamed = renamed.withColumnRenamed(k, f"__k_{k}")
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = slotted.join(F.broadcast(renamed), cond, "left")  # at most rows / limit slots
+    path = F.when(parts.isNull(), F.col("__slot")).otherwise(F.concat("__slot", F.array(place)))
+    return joined.withColumn("__slot", path).drop("__wide", "__lo", "__hi", "__parts", *[f"__k_{k}" for k in keys])
 
 
 def number_rows(
@@ -245,29 +294,42 @@ def exact_quantiles(
 def dense_ids(ids: DataFrame, name: str = "id", out: str = "new_id") -> DataFrame:
     """(id, new_id): distinct whole numbers renumbered 0, 1, ... in their order.
 
-    Ranges of BLOCK_ROWS numbers are numbered on their own and shifted by the counts of the ranges below, which are
-    again summed range by range.
+    A tree of counts: ranges of BLOCK_ROWS numbers, ranges of BLOCK_ROWS such ranges, and so on up to a level of at most
+    BLOCK_ROWS ranges. On every level a range is shifted by the counts of the earlier ones of the same parent and by that
+    of the parent, so no window holds more than BLOCK_ROWS rows, however sparse the numbers are.
     """
-    ids = ids.select(name).distinct().withColumn("block", block_of(name))
-    counts = ids.groupBy("block").agg(F.count(F.lit(1)).alias("__c")).withColumn("__all", F.lit(0))
-    upper = counts.withColumn("__up", block_of("block")).groupBy("__all", "__up").agg(F.sum("__c").alias("__c"))
-    earlier = Window.partitionBy("__all").orderBy("__up").rowsBetween(Window.unboundedPreceding, -1)
-    shift = upper.select("__up", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__shift"))
-    inner = Window.partitionBy("__up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        counts.withColumn("__up", block_of("block"))
-        .withColumn("__before", F.coalesce(F.sum("__c").over(inner), F.lit(0)))
-        .join(shift, "__up")
-        .select("block", (F.col("__before") + F.col("__shift")).alias("__before"))
-    )
+    ids = ids.select(name).distinct()
+    low, high = ids.agg(F.min(name), F.max(name)).first()
+    levels = [ids.withColumn("block", block_of_whole(F.col(name))).groupBy("block").agg(F.count(F.lit(1)).alias("__c"))]
+    low, high = ((x or 0) // BLOCK_ROWS for x in (low, high))
+    while high - low >= BLOCK_ROWS:
+        up = block_of_whole(F.col("block"))
+        levels.append(levels[-1].groupBy(up.alias("block")).agg(F.sum("__c").alias("__c")))
+        low, high = low // BLOCK_ROWS, high // BLOCK_ROWS
+    shift = None
+    for counts in reversed(levels):
+        parent = F.lit(0).cast("long") if shift is None else block_of_whole(F.col("block"))
+        placed = counts.withColumn("__up", parent)
+        earlier = Window.partitionBy("__up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("__before", F.coalesce(F.sum("__c").over(earlier), F.lit(0)))
+        if shift is not None:
+            placed = placed.join(shift, "__up").withColumn("__before", F.col("__before") + F.col("__shift"))
+        shift = placed.select(F.col("block").alias("__up"), F.col("__before").alias("__shift"))
     order = Window.partitionBy("block").orderBy(name)
     return (
-        ids.withColumn(out, (F.row_number().over(order) - 1).cast("long"))
-        .join(offsets, "block")
-        .select(name, (F.col(out) + F.col("__before")).alias(out))
+        ids.withColumn("block", block_of_whole(F.col(name)))
+        .withColumn(out, (F.row_number().over(order) - 1).cast("long"))
+        .join(shift.select(F.col("__up").alias("block"), "__shift"), "block")
+        .select(name, (F.col(out) + F.col("__shift")).alias(out))
     )
 
 
+def block_of_whole(x: Column) -> Column:
+    """``floor(x / BLOCK_ROWS)`` of a 64-bit number, exactly."""
+    rows = F.lit(BLOCK_ROWS).cast("long")
+    return F.call_function("div", x.cast("long") - F.pmod(x.cast("long"), rows), rows)
+
+
 def shuffled_rank(ids: DataFrame, seed: int, name: str = "id", out: str = "rank") -> DataFrame:
     """(id, rank, n): ranks 0..n-1 in a random but repeatable order, by the MD5 of ``id:seed``.
 
