@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import compare
 import numpy as np
@@ -73,6 +74,28 @@ def test_base_spans_equal_the_patterns():
         assert private_data.base_spans(text) == plain_spans(text), text[:60]
 
 
+@pytest.mark.parametrize("part", ["1", "1.", "+1 ", "1 ", "1-", "0", "1.1.1.", "a@", "@", ".", "1@1.", "+(", "1.2.3.4 "])
+def test_a_megabyte_of_anything_is_scanned_fast(part):
+    text = part * (1_000_000 // len(part)) + ".1.2.3"
+    start = time.process_time()
+    found = private_data.base_spans(text)
+    assert time.process_time() - start < 5
+    if part == "1.2.3.4 ":
+        assert sum(k == 1 for *_, k in found) == 125_000
+
+
+def test_long_leading_zeros_are_an_address():
+    assert private_data.base_spans("0" * 9000 + "1.2.3.4") == [(0, 9007, 1)]
+
+
+def test_address_scan_equals_the_pattern():
+    rng = np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(list("125..0a "), rng.integers(1, 40)))
+        want = [m.span() for m in private_data.IP.finditer(text)]
+        assert [m.span() for m in private_data.ADDRESS.finditer(text)] == want, text
+
+
 def test_private_data_of_tricky_texts(make_documents):
     texts = TRICKY + ["pay 4111111111111111 now, or 5500005555555559 later" + "!" * i for i in range(30)]
     got = private_data.private_data(make_documents(*texts)).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,6 @@ from tremorline.llm.registry import query
 from tremorline.llm.words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
-# Documents with candidate tokens that the field is trained on.
-SAMPLE_DOCUMENTS = 5_000
 ROUNDS, DAMPING = 10, 0.3
 
 # The patterns of the base spans.
@@ -24,6 +23,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# IP from the start of a run of digits, which it takes whole: a match can start nowhere else, and nothing is tried twice
+ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 CANDIDATE = re.compile(r"[0-9@]")
 EDGES = " .,;:!?\"'()[]{}<>$&*#%|"
@@ -45,7 +46,8 @@ def only_digits(text: str) -> str:
 
 
 def address_parts(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
 
 
 def email_spans(text: str) -> Iterator[tuple[int, int]]:
@@ -66,7 +68,7 @@ def email_spans(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) in order; each kind leftmost and non-overlapping, failing matches dropped."""
     out = [(a, b, 0) for a, b in email_spans(text)]
-    out += [(*m.span(), 1) for m in IP.finditer(text) if address_parts(m.group())]
+    out += [(*m.span(), 1) for m in ADDRESS.finditer(text) if address_parts(m.group())]
     for m in CARD.finditer(text):
         digits = only_digits(m.group()) if m.end() - m.start() <= 37 else ""
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -223,29 +225,29 @@ def flagged(column: pa.Array) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train_field(docs: DataFrame, most: int = SAMPLE_DOCUMENTS) -> Field:
-    """Fit the field to the base spans of at most ``most`` documents with digits or at signs, chosen by a hash."""
-    some = docs.filter(text_of().rlike("[0-9@]")).select("doc_id", F.xxhash64(text_of()).alias("turn"))
-    some = some.orderBy("turn", "doc_id").limit(most).distinct()
-    sample = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("turn"))
-    sample = sample.join(F.broadcast(some.select("turn").distinct()), "turn").select("text").distinct()
+def train_field(docs: DataFrame) -> Field:
+    """Fit the field to the base spans of all documents: each task counts its tokens and links by features and labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            rows = []
-            for text in batch["text"].to_pylist():
+            column = batch["text"]
+            for i in np.flatnonzero(flagged(column)).tolist():
+                text = column[i].as_py()
                 graph = Graph(text)
                 label = graph.labels(base_spans(text)).tolist()
-                rows += [("token", ",".join(map(str, f)), k) for f, k in zip(graph.features, label)]
-                rows += [("link", str(kind), label[i] * LABELS + label[j]) for i, j, kind in graph.links]
-            part, key, code = zip(*rows) if rows else ((), (), ())
-            arrays = [pa.array(part, pa.string()), pa.array(key, pa.string()), pa.array(code, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "key", "code"])
-
-    counted = sample.mapInArrow(count, "part string, key string, code int").groupBy("part", "key", "code").count()
-    got = counted.collect()  # combinations of a few small features and labels
-    tokens = [(r["key"], r["code"], r["count"]) for r in got if r["part"] == "token"]
-    return Field.fit(tokens, [(int(r["key"]), r["code"], r["count"]) for r in got if r["part"] == "link"])
+                seen.update(("token", ",".join(map(str, f)), k) for f, k in zip(graph.features, label))
+                seen.update(("link", str(kind), label[i] * LABELS + label[j]) for i, j, kind in graph.links)
+        part, key, code = zip(*seen) if seen else ((), (), ())
+        arrays = [pa.array(part, pa.string()), pa.array(key, pa.string()), pa.array(code, pa.int32())]
+        arrays.append(pa.array(list(seen.values()), pa.int64()))
+        yield pa.RecordBatch.from_arrays(arrays, names=["part", "key", "code", "n"])
+
+    texts = docs.select(text_of().alias("text"))
+    counted = texts.mapInArrow(count, "part string, key string, code int, n long")
+    got = counted.groupBy("part", "key", "code").agg(F.sum("n").alias("n")).collect()  # combinations of a few small numbers
+    tokens = [(r["key"], r["code"], r["n"]) for r in got if r["part"] == "token"]
+    return Field.fit(tokens, [(int(r["key"]), r["code"], r["n"]) for r in got if r["part"] == "link"])
 
 
 def added_spans(graph: Graph, marginal: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
