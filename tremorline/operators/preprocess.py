@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorline.blocks import (
@@ -103,50 +103,54 @@ def _sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _symmetric_window(window: int) -> tuple[Column, Column]:
-    """Offsets (back, ahead) of the two-pointer window: full inside, shrinking symmetrically at both ends."""
-    p, n = F.col("time"), F.col("n")
+def _ends(near: DataFrame, value: str, half: int) -> DataFrame:
+    """(id, n, head, tail): means of the first 1, 2, ... values of a series and of its last 1, 2, ..., 2 half + 1 at most."""
+    out = []
+    for name, place in (("head", F.col("time")), ("tail", F.col("n") - 1 - F.col("time"))):
+        some = near.select("id", "n", place.alias("__k"), F.col(value).alias("__v")).filter(F.col("__k") <= 2 * half)
+        w = Window.partitionBy("id").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+        mean = F.when(F.count("__v").over(w) == F.col("__k") + 1, F.avg("__v").over(w))
+        pairs = F.sort_array(F.collect_list(F.struct("__k", F.col("__m").alias("m"))))
+        out.append(some.withColumn("__m", mean).groupBy("id").agg(F.max("n").alias("n"), pairs["m"].alias(name)))
+    return out[0].join(out[1].drop("n"), "id")
+
+
+def _sliding_avg(sig: DataFrame, value: str, window: int, name: str) -> DataFrame:
+    """Add the mean over a two-pointer window: full inside, shrinking symmetrically at both ends of a series.
+
+    Inside, it is one sliding frame. At the ends the window of a row begins or stops with the series, so it is one of the
+    means of the first or last values, of which a series has at most ``window`` + 1 each. The plan does not depend on the
+    width. A window with a null has no mean; one that would be the whole series leaves out its last value.
+    """
     half, rest = window // 2, (window - 1) // 2
+    out = attach(with_halo(sig, "id", "time", half, half), _sizes(sig), "id")
+    frame = block_window("id", "time").rowsBetween(-half, rest)
+    full = F.when(F.count(value).over(frame) == window, F.avg(value).over(frame))
+    near = core(out.withColumn("__full", full), "time")
+    ended = attach(near.drop("n"), _ends(core(out, "time"), value, half), "id")
+    p, n = F.col("time"), F.col("n")
     edge = (p < half) | (p >= n - half)
-    reach = F.least(p, n - 1 - p)
-    back = F.when(edge, reach).otherwise(F.lit(half))
-    ahead = F.when(edge, reach).otherwise(F.lit(rest))
-    # a window that would be the whole series loses its last sample
-    whole = (n > 1) & (back == p) & (ahead == n - 1 - p)
-    ahead = F.when(whole, ahead - 1).otherwise(ahead)
-    return back, ahead
-
-
-def _sliding_avg(df: DataFrame, value: str, window: int) -> Column:
-    """Mean over a window whose width varies by row: shifted copies, each counted only where it is inside."""
-    back, ahead = _symmetric_window(window)
-    w = block_window("id", "time")
-    total, count = F.lit(0.0), F.lit(0)
-    half = window // 2
-    for j in range(-half, half + 1):
-        inside = (F.lit(-j) <= back) & (F.lit(j) <= ahead)
-        shifted = F.lead(value, j).over(w) if j >= 0 else F.lag(value, -j).over(w)
-        total = total + F.when(inside, shifted).otherwise(0.0)
-        count = count + F.when(inside, 1).otherwise(0)
-    return total / count
+    whole = (n > 1) & F.when(edge, 2 * p == n - 1).otherwise((p == half) & (n - 1 - p == rest))
+    mean = (
+        F.when(whole, F.get("head", (n - 2).cast("int")))
+        .when(~edge, F.col("__full"))
+        .when(p <= n - 1 - p, F.get("head", (2 * p).cast("int")))
+        .otherwise(F.get("tail", (2 * (n - 1 - p)).cast("int")))
+    )
+    return ended.withColumn(name, mean).select(*sig.columns, name)
 
 
 def sliding_mean_sym(sig: DataFrame, window: int) -> DataFrame:
     """Moving mean whose window shrinks symmetrically at the ends of the series."""
-    half = window // 2
-    out = attach(with_halo(sig, "id", "time", half, half), _sizes(sig), "id")
-    out = out.withColumn("sliding_mean", _sliding_avg(out, "signal_raw", window))
-    return core(out, "time").select("id", "time", "sliding_mean")
+    return _sliding_avg(sig.select("id", "time", "signal_raw"), "signal_raw", window, "sliding_mean").drop("signal_raw")
 
 
 def sliding_std_sym(sig: DataFrame, window: int) -> DataFrame:
     """Root of the mean squared distance to the point-wise sliding mean, in the same windows."""
-    half = window // 2
-    out = attach(with_halo(sig, "id", "time", 2 * half, 2 * half), _sizes(sig), "id")
-    out = out.withColumn("__m", _sliding_avg(out, "signal_raw", window))
-    out = out.withColumn("__d", F.pow(F.col("signal_raw") - F.col("__m"), 2))
-    out = out.withColumn("sliding_std", F.sqrt(_sliding_avg(out, "__d", window)))
-    return core(out, "time").select("id", "time", "sliding_std")
+    out = _sliding_avg(sig.select("id", "time", "signal_raw"), "signal_raw", window, "__m")
+    out = out.select("id", "time", F.pow(F.col("signal_raw") - F.col("__m"), 2).alias("__d"))
+    out = _sliding_avg(out, "__d", window, "__v")
+    return out.select("id", "time", F.sqrt("__v").alias("sliding_std"))
 
 
 def adaptive_avg_pool(sig: DataFrame, length: int) -> DataFrame:
