@@ -163,3 +163,33 @@ def test_training_learns_an_order():
     for _ in range(12):
         network.train(lanes, moments, rate=0.02)
     assert network.score(lanes, 20).sum() > 0.3 * before
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_network_beats_the_counts_on_held_out_documents(spark, sf):
+    got = language_model.op10_language_model(spark, f"/root/testdata/{sf}").toPandas()
+    for _, some in got.groupby("held_out"):
+        assert some["score"].sum() / some["n_tokens"].sum() > some["base_score"].sum() / some["n_tokens"].sum()
+
+
+def test_changes_are_averaged_in_a_tree(spark):
+    rng = np.random.default_rng(2)
+    size = language_model.BLOCK + 100
+    changes, masses = rng.standard_normal((130, size)), rng.integers(1, 9, 130).astype(float)
+    rows = [
+        (task * 97, block, float(masses[task]), bytearray((masses[task] * changes[task, a : a + language_model.BLOCK]).tobytes()))
+        for task in range(130)
+        for block, a in enumerate(range(0, size, language_model.BLOCK))
+    ]
+    got = language_model.average_change(spark.createDataFrame(rows, "task long, block int, mass double, change binary"), size)
+    assert got == pytest.approx(np.average(changes, axis=0, weights=masses))
+
+
+def test_a_harmful_change_is_not_made(spark):
+    words = np.arange(1, 500, dtype=np.uint64)
+    vocabulary = language_model.Vocabulary(words, np.arange(499, 0, -1), 200_000, 600, 100)
+    start = language_model.Network(vocabulary).flat().astype(np.float64)
+    texts = spark.createDataFrame([("some words here",), ("and others",)], "text string")
+    worse = np.random.default_rng(0).standard_normal(len(start)) * 50
+    assert language_model._best_stride(texts, vocabulary, start, worse) == 0.0
+    assert language_model._best_stride(texts.limit(0), vocabulary, start, worse) == 0.0

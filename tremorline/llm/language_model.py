@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,12 @@ FREQUENT = 200_000
 CLASSES, WIDTH = 64, 64
 HIDDEN = 24
 END, OTHER = 0, 1
-# Training: every round takes one in SHARE of the training documents, whole, each task its own, and averages the tasks.
-TRAINING_ROUNDS, SHARE = 2, 8
+# Training: every round takes another part of the training documents, whole, each task its own; together they are all.
+TRAINING_ROUNDS = 4
+# One in VALIDATION of the training documents gives no gradients; it chooses how far a round goes, 0 being not at all.
+VALIDATION = 32
+STRIDES = (0.0, 0.1, 0.3, 1.0)
+BLOCK, FAN_IN = 8192, 64  # parameters sent together, tasks whose changes are added up together
 LANES, STEPS, RATE = 48, 32, 0.008
 SCORING_LANES, SCORING_STEPS = 512, 32
 
@@ -353,42 +358,104 @@ class Network:
         return out
 
 
-def train_network(training: DataFrame, vocabulary: Vocabulary, rounds: int = TRAINING_ROUNDS, share: int = SHARE) -> Network:
-    """Local training and averaging: in every round each task goes on from the common parameters with its own documents
-    (one in ``share``, another part each round, so what is learned from grows with the corpus) and the parameters are
-    averaged, weighted by symbols. Averages are sums per parameter; the driver receives one value for each."""
+def _symbols(vocabulary: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts one after the other, and words per text."""
+    symbols, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for chunk in chunks(column):
+        symbols.append(vocabulary.look_up(chunk.words())[2])
+        counts.append(chunk.counts)
+    return np.concatenate(symbols), np.concatenate(counts)
+
+
+_CHANGES = pa.schema([("task", pa.int64()), ("block", pa.int32()), ("mass", pa.float64()), ("change", pa.binary())])
+
+
+def _add_changes(key: tuple, rows: pa.Table) -> pa.Table:
+    """The sum of the changes of one block of parameters over some tasks."""
+    total = sum(np.frombuffer(c.as_py(), "<f8") for c in rows["change"])
+    mass = float(np.sum(rows["mass"].to_numpy()))
+    task, block = key[0].as_py(), key[1].as_py()
+    return pa.Table.from_arrays(
+        [pa.array([task], pa.int64()), pa.array([block], pa.int32()), pa.array([mass]), pa.array([total.tobytes()], pa.binary())],
+        schema=_CHANGES,
+    )
+
+
+def average_change(changes: DataFrame, size: int) -> np.ndarray:
+    """The mean change of ``size`` parameters, weighted by mass, from (task, block, mass, change).
+
+    A tree: blocks are added up for FAN_IN tasks at a time, so that no group grows with the number of tasks.
+    """
+    spec = "task long, block int, mass double, change binary"
+    for _ in range(3):
+        up = F.expr(f"task div {FAN_IN}").alias("task")
+        changes = changes.select(up, "block", "mass", "change").groupBy("task", "block").applyInArrow(_add_changes, spec)
+    out = np.zeros(size)
+    total: dict[int, float] = {}
+    for _, block, mass, change in changes.collect():  # size / BLOCK rows for every FAN_IN ** 3 tasks
+        part = np.frombuffer(bytes(change), "<f8")
+        out[block * BLOCK : block * BLOCK + len(part)] += part
+        total[block] = total.get(block, 0.0) + mass
+    for block, mass in total.items():
+        out[block * BLOCK : (block + 1) * BLOCK] /= mass
+    return out
+
+
+def _best_stride(validation: DataFrame, vocabulary: Vocabulary, start: np.ndarray, change: np.ndarray) -> float:
+    """How much of a change to apply: what gives the validation texts the greatest likelihood; 0 where there are none."""
+    held = validation.sparkSession.sparkContext.broadcast((vocabulary, start, change))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, start, change = held.value
+        networks = [Network(vocabulary).with_flat(start + s * change) for s in STRIDES]
+        scores = np.zeros(len(STRIDES))
+        for batch in batches:
+            if batch.num_rows:
+                symbols, counts = _symbols(vocabulary, batch["text"])
+                for k, network in enumerate(networks):
+                    scores[k] += network.score(Lanes(symbols, counts, SCORING_LANES), batch.num_rows).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(STRIDES))), pa.array(scores)], names=["k", "score"])
+
+    judged = validation.mapInArrow(judge, "k long, score double").groupBy("k").agg(F.sum("score").alias("score")).collect()
+    if not judged:
+        return 0.0
+    return STRIDES[max(judged, key=lambda r: (r["score"], -r["k"]))["k"]]
+
+
+def train_network(training: DataFrame, vocabulary: Vocabulary, rounds: int = TRAINING_ROUNDS) -> Network:
+    """Local training and averaging: in every round each task goes on from the common parameters with its own documents of
+    the round's part, and the changes are averaged, weighted by symbols. The parts of all rounds are all documents but those
+    for validation, on which the stride along the average is chosen; so no round makes the network worse there, and with
+    few documents it stays near its start, the smoothed counts. A task sends its parameters once a round."""
     spark = training.sparkSession
-    network = Network(vocabulary)
-    part = F.pmod(F.xxhash64("doc_id", text_of()), F.lit(share))
+    size = len(Network(vocabulary).flat())
+    flat = Network(vocabulary).flat().astype(np.float64)
+    turn = F.xxhash64("doc_id", text_of())
+    validating = F.pmod(F.shiftright(turn, 32), F.lit(VALIDATION)) == 0
+    validation = materialize(training.filter(validating).select(text_of().alias("text")), "validation")
     for k in range(rounds):
-        held = spark.sparkContext.broadcast((vocabulary, network))
+        held = spark.sparkContext.broadcast((vocabulary, flat))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, network = held.value
-            start, moments, seen = network.flat(), {}, 0
-            own = Network(vocabulary).with_flat(start)
+            vocabulary, start = held.value
+            own, moments, seen = Network(vocabulary).with_flat(start), {}, 0
             for batch in batches:
-                symbols, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-                for chunk in chunks(batch["text"]):
-                    symbols.append(vocabulary.look_up(chunk.words())[2])
-                    counts.append(chunk.counts)
                 if batch.num_rows:
-                    own.train(Lanes(np.concatenate(symbols), np.concatenate(counts), LANES), moments)
-                    seen += sum(len(s) for s in symbols) + batch.num_rows
+                    symbols, counts = _symbols(vocabulary, batch["text"])
+                    own.train(Lanes(symbols, counts, LANES), moments)
+                    seen += len(symbols) + batch.num_rows
             if seen:
-                values = own.flat().astype(np.float64) - start
-                place = np.arange(len(values), dtype=np.int32)
-                mass = np.full(len(values), float(seen))
-                arrays = [pa.array(place), pa.array(values * seen), pa.array(mass)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["place", "change", "mass"])
-
-        mine = training.filter(part == k % share).select(text_of().alias("text"))
-        moved = mine.mapInArrow(work, "place int, change double, mass double")
-        moved = moved.groupBy("place").agg((F.sum("change") / F.sum("mass")).alias("change")).toArrow()
-        values = network.flat().astype(np.float64)
-        values[moved["place"].to_numpy()] += moved["change"].to_numpy()
-        network = Network(vocabulary).with_flat(values)
-    return network
+                change = (own.flat().astype(np.float64) - start) * seen
+                blocks = [change[a : a + BLOCK].tobytes() for a in range(0, size, BLOCK)]
+                n = len(blocks)
+                task = pa.array([TaskContext.get().partitionId()] * n, pa.int64())
+                columns = [task, pa.array(np.arange(n, dtype=np.int32)), pa.array([float(seen)] * n), pa.array(blocks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CHANGES)
+
+        mine = training.filter((F.pmod(turn, F.lit(rounds)) == k) & ~validating).select(text_of().alias("text"))
+        change = average_change(mine.mapInArrow(work, "task long, block int, mass double, change binary"), size)
+        flat = flat + _best_stride(validation, vocabulary, flat, change) * change
+    return Network(vocabulary).with_flat(flat)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
