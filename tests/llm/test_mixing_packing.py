@@ -3,6 +3,7 @@ import math
 import re
 import zlib
 
+import compare
 import numpy as np
 import public_tokenizers
 import pytest
@@ -149,3 +150,10 @@ def test_fit_reproduces_a_mix_of_patterns():
     x = packing.fit_counts(found, counts, 3000)
     made = np.bincount(found.ravel(), np.repeat(x, 3), 11)
     assert (x >= 0).all() and np.abs(made[1:] - counts[1:]).max() < 1
+
+
+def test_packed_ids_are_those_of_the_tokenizer_for_every_document(spark):
+    docs = spark.read.parquet(f"{compare.SF}/documents.parquet").select("doc_id", "text").collect()
+    packed = packing.op6_pack_documents(spark, compare.SF)
+    n, tokens = check_packing([tuple(r) for r in docs], packed)
+    assert n <= math.ceil(tokens / 1024) * 1.02 + 1

@@ -193,3 +193,15 @@ def test_a_harmful_change_is_not_made(spark):
     worse = np.random.default_rng(0).standard_normal(len(start)) * 50
     assert language_model._best_stride(texts, vocabulary, start, worse) == 0.0
     assert language_model._best_stride(texts.limit(0), vocabulary, start, worse) == 0.0
+
+
+def test_rows_without_id_teach_nothing(spark):
+    docs = [(i, ("you are an idiot and scum " if i % 3 == 0 else "a calm and friendly note ") + f"w{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    more = docs + [(None, "IDIOT!!! #$% friendly moron " + "!" * k) for k in range(200)]
+    scores = []
+    for rows in (docs, more):
+        got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), labels).collect()
+        assert len(got) == len(rows)
+        scores.append({r.doc_id: round(r.score, 9) for r in got if r.doc_id is not None})
+    assert scores[0] == scores[1]

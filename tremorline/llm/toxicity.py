@@ -278,7 +278,7 @@ def vote_counts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[Lexicon, Linear]:
     """Lexicon voters and classifier.
 
-    The label model sees the votes of all documents that are not held out; lexicons are mined from, and the classifier is
+    The label model sees the votes of all documents that have a doc_id and are not held out; lexicons are mined from, and the classifier is
     fitted on, the bounded labelled sample, the latter with the label model's posterior as its labels.
     """
     spark = docs.sparkSession
@@ -293,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         values = found[name].to_numpy()
         rows[name] = values.view(np.uint64) if name == "feature" else values
     lexicon = Lexicon.mine(rows, sizes.get(1, 0), sizes.get(0, 0))
-    votes = vote_counts(docs.filter(~held_out()), lexicon).toPandas()
+    votes = vote_counts(docs.filter(F.col("doc_id").isNotNull() & ~held_out()), lexicon).toPandas()
     patterns = unpack_votes(votes["votes"].to_numpy(np.int64))
     model = LabelModel(patterns, votes["n"].to_numpy(np.int64)) if len(votes) else None
     held = spark.sparkContext.broadcast((lexicon, model))
