@@ -454,48 +454,6 @@ register(
 
 # --- feature tables ------------------------------------------------------------------------------------------------
 
-_SIMPLE = {
-    "minimum": lambda x: f"min({x})",
-    "sum_values": lambda x: f"sum({x})",
-    "variance": lambda x: f"var_pop({x})",
-    "standard_deviation": lambda x: f"stddev_pop({x})",
-    "root_mean_square": lambda x: f"sqrt(avg({x} * {x}))",
-    "median": lambda x: f"median({x})",
-    "absolute_maximum": lambda x: f"max(abs({x}))",
-}
-_SIMPLE_TIME = [f for f in listed(TIME_FEATURES) if f.function in _SIMPLE]
-_SIMPLE_FREQ = [f for f in listed(FREQ_FEATURES) if f.function in _SIMPLE]
-
-
-def _wide(features: list[Feature], src: str) -> str:
-    cols = ", ".join(f"{_SIMPLE[f.function](f.channel)} AS f{i}" for i, f in enumerate(features))
-    return f"SELECT id, {cols} FROM {src} GROUP BY id"
-
-
-@query("extract_features", unpivot(TIME_CTE, _wide(_SIMPLE_TIME, "ch"), _SIMPLE_TIME))
-def extract_features(spark, sf):
-    channels = TIME.transform(b.signal(spark, sf))
-    return long_rows(extract.extract_features(channels, "time", _SIMPLE_TIME, keep=False))
-
-
-@query("feature_union", (
-    unpivot(TIME_CTE, _wide(_SIMPLE_TIME, "ch"), _SIMPLE_TIME)
-    + " UNION ALL SELECT * FROM ("
-    + unpivot(FREQ_CTE, _wide(_SIMPLE_FREQ, "sp"), _SIMPLE_FREQ)
-    + ")"
-))
-def feature_union(spark, sf):
-    sig = b.signal(spark, sf)
-    channels = TIME.transform(sig)
-    spec = FreqPreprocessing(n_bins=BINS, fs=1000).transform(sig)
-    return long_rows(
-        extract.feature_union(
-            extract.extract_features(channels, "time", _SIMPLE_TIME, keep=False),
-            extract.extract_features(spec, "freq_num", _SIMPLE_FREQ, keep=False),
-        )
-    )
-
-
 @query("sort_columns", f"""WITH {TIME_CTE}
 SELECT id, 1 AS place_1, 2 AS place_2, round(min({S}), 6) AS a_min, round(sum({S}), 6) AS b_sum FROM ch GROUP BY id""")
 def sort_columns(spark, sf):
@@ -515,16 +473,40 @@ def feature_table(spark, sf):
 
 
 # every catalog feature with check SQL of its own: all but the autoregression, which is checked against numpy
-_CHECKED = [f for f in listed(TIME_FEATURES) + listed(FREQ_FEATURES) if f.function != "ar_coefficient"]
+def _checked(features: list[Feature]) -> list[Feature]:
+    return [f for f in features if f.function != "ar_coefficient"]
 
 
-def _all_checks() -> str:
-    names = ", ".join("'" + f.name + "'" for f in _CHECKED)
+def _checks_of(features: list[Feature]) -> str:
+    names = ", ".join("'" + f.name + "'" for f in _checked(features))
     parts = [f"SELECT id, feature, value FROM ({CHECKS[q]})" for q in CHECKS if q.startswith("f_") and "one_lag" not in q]
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE feature IN ({names})"
 
 
-@query("feature_long", _all_checks())
+def _checked_rows(wide, features: list[Feature]):
+    return long_rows(wide).filter(F.col("feature").isin([f.name for f in _checked(features)]))
+
+
+_TIME, _FREQ = listed(TIME_FEATURES), listed(FREQ_FEATURES)
+
+
+@query("extract_features", _checks_of(_TIME))
+def extract_features(spark, sf):
+    """All features of the time channels, one extraction."""
+    channels = TIME.transform(b.signal(spark, sf))
+    return _checked_rows(extract.extract_features(channels, "time", _TIME), _TIME)
+
+
+@query("feature_union", _checks_of(_TIME + _FREQ))
+def feature_union(spark, sf):
+    """All features of the time channels joined to all of the spectrum."""
+    sig = b.signal(spark, sf)
+    spectrum = extract.extract_features(FreqPreprocessing().transform(sig), "freq_num", _FREQ)
+    wide = extract.feature_union(extract.extract_features(TIME.transform(sig), "time", _TIME), spectrum)
+    return _checked_rows(wide, _TIME + _FREQ)
+
+
+@query("feature_long", _checks_of(_TIME + _FREQ))
 def feature_long(spark, sf):
     """The features with check SQL, all from one extraction."""
-    return feature_table(spark, sf).filter(F.col("feature").isin([f.name for f in _CHECKED]))
+    return _checked_rows(extract.all_features(b.signal(spark, sf), TIME), _TIME + _FREQ)
