@@ -255,3 +255,31 @@ def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 16))
     y = embeddings.hadamard(x)
     assert np.allclose((x * x).sum(1), (y * y).sum(1)) and np.allclose(embeddings.hadamard(y), x)
+
+
+def test_chance_meetings_do_not_grow_with_the_vectors():
+    meetings = []
+    for n in (1000, 8000):
+        x = np.random.default_rng(7).standard_normal((n, 32))
+        keys = embeddings.bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), *embeddings.table_sizes(n, 32))
+        counts = np.unique(keys[:, :, 0], return_counts=True)[1]
+        meetings.append(float((counts * (counts - 1)).sum()) / (n * keys.shape[1]))
+    assert meetings[1] < 2 * meetings[0]
+
+
+@pytest.mark.parametrize("small", [1, 3, 64])
+def test_many_buckets_in_one_call(monkeypatch, small):
+    monkeypatch.setattr(embeddings, "SMALL", small)
+    rng = np.random.default_rng(3)
+    n = 90
+    unit = rng.standard_normal((n, 4))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    keys = np.stack([rng.integers(0, 9, n), 9 + rng.integers(0, 9, n)], 1).astype(np.uint64)
+    label = rng.integers(0, 2, n).astype(np.int64)
+    rows = [(v, int(k), min(v % 2, other), max(v % 2, other)) for v in range(n) for k in keys[v] for other in range(2)]
+    v, key, i, j = (np.array(c) for c in zip(*rows))
+    a, b = embeddings._bucket_links(unit[v], keys[v], key.astype(np.uint64), [label[v], key, i, j, v % 2], 0.9)
+    got = sorted(tuple(sorted(p)) for p in zip(v[a].tolist(), v[b].tolist()))
+    near = unit @ unit.T >= 0.9
+    want = [(p, q) for p in range(n) for q in range(p + 1, n) if near[p, q] and label[p] == label[q] and set(keys[p]) & set(keys[q])]
+    assert got == want and want

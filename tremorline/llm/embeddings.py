@@ -17,8 +17,14 @@ from tremorline.session import materialize
 
 SIMILARITY = 0.98
 TABLES, HASHES, PROBES = 6, 2, 3
+# Tables and hashes as the vectors of a label grow; a table has at least SPARE buckets for every vector.
+LEVELS = ((TABLES, HASHES), (8, 3), (12, 4))
+SPARE = 64
 # Vectors of one block of a bucket; larger buckets are compared block by block.
 BLOCK = 512
+# Rows of buckets compared in one call, about; buckets of up to SMALL rows are multiplied together.
+ROWS, SMALL = 8192, 64
+PAIRS = 1 << 18  # pairs whose keys are looked at together
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -85,23 +91,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
-def _block_links(ids: list[np.ndarray], units: list[np.ndarray], keys: list[np.ndarray], sizes: list[np.ndarray],
-                 here: int, similarity: float, same: bool) -> tuple[dict, list]:
-    """Copies linked to each class of the block pair, and links that join the classes of the block pair.
+def _block_pairs(units: list[np.ndarray], similarity: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both blocks of the vectors that are similar; each pair of one block once."""
+    x, y = units
+    close = x @ y.T >= similarity
+    return np.nonzero(np.triu(close, 1) if same else close)
+
+
+def _small_pairs(unit: np.ndarray, start: np.ndarray, size: np.ndarray, similarity: float) -> Iterator[tuple]:
+    """Places of the similar pairs in runs of ``size`` rows from ``start``, runs of one size multiplied together."""
+    for m in np.unique(size):
+        runs = start[size == m]
+        step = max(1, (1 << 20) // (int(m) * max(unit.shape[1], int(m))))
+        for s in range(0, len(runs), step):
+            at = runs[s : s + step, None] + np.arange(m)
+            x = unit[at]
+            g, i, j = np.nonzero(np.triu(np.matmul(x, x.transpose(0, 2, 1)) >= similarity, 1))
+            yield at[g, i], at[g, j]
+
+
+def _in_first_bucket(left: np.ndarray, right: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Whether ``here`` is the smallest common key of two rows of keys."""
+    out = np.zeros(len(left), dtype=bool)
+    for s in range(0, len(left), 1 << 14):
+        a, b = left[s : s + (1 << 14)], right[s : s + (1 << 14)]
+        common = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.uint64(0xFFFFFFFFFFFFFFFF))
+        out[s : s + (1 << 14)] = common.min(1) == here[s : s + (1 << 14)]
+    return out
+
+
+def _bucket_links(unit: np.ndarray, keys: np.ndarray, here: np.ndarray, place: list[np.ndarray], similarity: float) -> tuple:
+    """Places of the linked pairs of many buckets of vectors of one length.
 
-    A pair found in several buckets counts in the one with the smallest common key only.
+    ``here`` is the key of each row's bucket, ``place`` its label, key, block pair and block. A pair found in several
+    buckets counts in the one with the smallest common key only.
     """
-    (a, b), (x, y), (ka, kb), (sa, sb) = ids, units, keys, sizes
-    close = x @ y.T >= similarity
-    if same:
-        close = np.triu(close, 1)
-    i, j = np.nonzero(close)
-    first = np.zeros(len(i), dtype=bool)
-    for s in range(0, len(i), 1 << 14):
-        left, right = ka[i[s : s + (1 << 14)]], kb[j[s : s + (1 << 14)]]
-        common = np.where((left[:, :, None] == right[:, None, :]).any(2), left, np.uint64(0xFFFFFFFFFFFFFFFF))
-        first[s : s + (1 << 14)] = common.min(1) == np.uint64(here)
-    i, j = i[first], j[first]
+    label, key, i, j, block = place
+    order = np.lexsort((block, j, i, key, label))
+    sort = [c[order] for c in (label, key, i, j)]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in sort], 0)
+    start = np.flatnonzero(new)
+    size = np.diff(np.r_[start, len(order)])
+    unit, block = unit[order], block[order]
+    whole = sort[2][start] == sort[3][start]
+    small = whole & (size <= SMALL)
+    found = list(_small_pairs(unit, start[small], size[small], similarity))
+    for s, n, same in zip(start[~small].tolist(), size[~small].tolist(), whole[~small].tolist()):
+        # the rows of the smaller block come first
+        cut = 0 if same else int(np.searchsorted(block[s : s + n], sort[3][s]))
+        parts = [unit[s : s + n]] * 2 if same else [unit[s : s + cut], unit[s + cut : s + n]]
+        a, b = _block_pairs(parts, similarity, same)
+        found.append((a + s, b + s + cut))
+    none = np.zeros(0, dtype=np.int64)
+    a, b = (order[np.concatenate([none, *[f[k] for f in found]])] for k in range(2))
+    first = np.concatenate([np.zeros(0, dtype=bool), *[
+        _in_first_bucket(keys[a[s : s + PAIRS]], keys[b[s : s + PAIRS]], here[a[s : s + PAIRS]]) for s in range(0, len(a), PAIRS)
+    ]])
+    return a[first], b[first]
+
+
+def _links_of(ids: list, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[dict, list]:
+    """Copies linked to each class by the pairs of rows (a, b), and links that join their classes."""
     counts: dict = {}
     parent: dict = {}
     edges = []
@@ -112,24 +163,37 @@ def _block_links(ids: list[np.ndarray], units: list[np.ndarray], keys: list[np.n
             v = parent[v]
         return v
 
-    linked_a, linked_b = np.bincount(i, sb[j], len(a)), np.bincount(j, sa[i], len(b))
-    for at, linked in ((a, linked_a), (b, linked_b)):
-        for k in np.flatnonzero(linked):
-            counts[at[k]] = counts.get(at[k], 0) + int(linked[k])
-    for p, q in zip(i.tolist(), j.tolist()):
-        u, v = find(a[p]), find(b[q])
+    linked = np.bincount(a, sizes[b], len(ids)) + np.bincount(b, sizes[a], len(ids))
+    for k in np.flatnonzero(linked).tolist():
+        counts[ids[k]] = counts.get(ids[k], 0) + int(linked[k])
+    for p, q in zip(a.tolist(), b.tolist()):
+        u, v = find(ids[p]), find(ids[q])
         if u != v:
             parent[u] = v
-            edges.append((a[p], b[q]))
+            edges.append((ids[p], ids[q]))
     return counts, edges
 
 
+def table_sizes(classes: int, dim: int) -> tuple[int, int]:
+    """(tables, hashes) for vectors of one length of which ``classes`` share a label.
+
+    Buckets are SPARE times as many as vectors, so that vectors that are not alike keep meeting rarely however many there
+    are. More hashes come with more tables: a pair at SIMILARITY is missed no more often than with few vectors.
+    """
+    axes = 2 << max(dim - 1, 0).bit_length()
+    for tables, hashes in LEVELS:
+        if axes**hashes >= SPARE * classes:
+            break
+    return tables, hashes
+
+
 def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 
     Vectors of one label with a cosine (double precision) of at least ``similarity`` are linked if they meet in a bucket.
-    Equal vectors are one class, hashed once and counted with all their copies. A bucket above BLOCK classes is compared
-    in pairs of blocks, all of them; a task returns counts and joining links, never the pairs. Rows whose vector is null,
+    Equal vectors are one class, hashed once and counted with all their copies. Tables grow by ``table_sizes``. A bucket
+    above BLOCK classes is compared in pairs of blocks, all of them; buckets and pairs of blocks are dealt to groups of
+    about ROWS rows, compared in one call each, which returns counts and joining links, never the pairs. Rows whose vector is null,
     empty, zero or not finite throughout, or whose label is null, have no links and are their own component. Vectors of
     different lengths never link. A repeated vec_id is a vector for each of its rows. A null vec_id takes part; its
     component is named by another row if there is one. An empty table gives no rows; other columns are ignored.
@@ -144,13 +208,18 @@ def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     )
     classes = materialize(classes, "vector-classes")
     dimension = F.size("vector")
+    labels = classes.groupBy("label", dimension.alias("dim")).agg(F.count(F.lit(1)).alias("m"))
+    most = {d: table_sizes(m, d) for d, m in labels.groupBy("dim").agg(F.max("m")).collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = pa.compute.list_value_length(batch["vector"]).to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths):
                 part = batch.take(pa.array(np.flatnonzero(lengths == dim)))
-                keys = bucket_keys(_matrix(part["vector"])).reshape(part.num_rows, -1)
+                unit = _matrix(part["vector"])
+                # a few vectors at a time, as the rotations go over them many times
+                keys = np.concatenate([bucket_keys(unit[s : s + 1024], *most[dim]) for s in range(0, len(unit), 1024)])
+                keys = keys.reshape(part.num_rows, -1)
                 width = keys.shape[1]
                 flat = pa.array(keys.ravel().view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), flat)
@@ -170,26 +239,24 @@ def embedding_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     spread = spread.select(
         "class", "label", "dim", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
+    spread = materialize(spread, "buckets")
+    groups = max(1, spread.count() // ROWS)
+    spread = spread.withColumn("group", F.pmod(F.xxhash64("label", "key", "i", "j"), F.lit(groups)))
     full = spread.join(placed.select("class", "n", "vector", "keys"), "class")
 
     def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        i, j, here = group["i"][0].as_py(), group["j"][0].as_py(), group["key"][0].as_py() & 0xFFFFFFFFFFFFFFFF
-        parts = []
-        for k in (i, j):
-            part = group.filter(pa.compute.equal(group["block"], k)).combine_chunks()
-            if not part.num_rows:
-                return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-            column = lambda c: part[c].combine_chunks()
-            keys = column("keys").flatten().to_numpy().view(np.uint64).reshape(part.num_rows, -1)
-            parts.append((part["class"].to_pylist(), _matrix(column("vector")), keys, part["n"].to_numpy()))
-        ids, units, keys, sizes = ([p[k] for p in parts] for k in range(4))
-        counts, edges = _block_links(ids, units, keys, sizes, here, similarity, i == j)
-        a = [*counts, *[e[0] for e in edges]]
-        b = [None] * len(counts) + [e[1] for e in edges]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array([*counts.values(), *[0] * len(edges)], pa.int64())})
-
-    found = full.groupBy("label", "dim", "key", "i", "j").applyInArrow(compare, "a binary, b binary, n long")
+        column = lambda c: group[c].combine_chunks()
+        label = column("label").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        place = [label, *[column(c).to_numpy() for c in ("key", "i", "j", "block")]]
+        keys = column("keys").flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
+        a, b = _bucket_links(_matrix(column("vector")), keys, place[1].view(np.uint64), place, similarity)
+        counts, edges = _links_of(group["class"].to_pylist(), group["n"].to_numpy(), a, b)
+        left = [*counts, *[e[0] for e in edges]]
+        right = [None] * len(counts) + [e[1] for e in edges]
+        n = [*counts.values(), *[0] * len(edges)]
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary()), "n": pa.array(n, pa.int64())})
+
+    found = full.groupBy("dim", "group").applyInArrow(compare, "a binary, b binary, n long")
     found = materialize(found, "vector-links")
     linked = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("linked"))
     roots = components(found.filter(F.col("b").isNotNull()).select("a", "b"))
