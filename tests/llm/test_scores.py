@@ -205,3 +205,21 @@ def test_rows_without_id_teach_nothing(spark):
         assert len(got) == len(rows)
         scores.append({r.doc_id: round(r.score, 9) for r in got if r.doc_id is not None})
     assert scores[0] == scores[1]
+
+
+def test_a_known_likelihood_is_not_computed_again(spark, monkeypatch):
+    """The start of a round is the end of the one before, whose likelihood is known."""
+    vocabulary, _ = small_network()
+    texts = spark.createDataFrame([(f"w{i} w{i % 3} w1",) for i in range(40)], "text string").repartition(2)
+    start = language_model.Network(vocabulary).flat().astype(np.float64)
+    change = np.random.default_rng(0).standard_normal(len(start)) * 0.01
+    asked = []
+    whole = language_model._likelihoods
+    monkeypatch.setattr(language_model, "_likelihoods", lambda *a: asked.append(a[4]) or whole(*a))
+    known = {}
+    first = language_model._best_stride(texts, vocabulary, start, change, known)
+    everything = whole(texts, vocabulary, start, change, language_model.STRIDES)
+    assert known[0.0] == pytest.approx(max(everything.values())) and first == max(everything, key=everything.get)
+    again = language_model._best_stride(texts, vocabulary, start + first * change, -change, known)
+    assert asked == [language_model.STRIDES, language_model.STRIDES[1:]]
+    assert again in language_model.STRIDES
