@@ -223,3 +223,33 @@ def test_a_known_likelihood_is_not_computed_again(spark, monkeypatch):
     again = language_model._best_stride(texts, vocabulary, start + first * change, -change, known)
     assert asked == [language_model.STRIDES, language_model.STRIDES[1:]]
     assert again in language_model.STRIDES
+
+
+def test_moments_of_rows_without_gradient_decay_as_all_others():
+    """A step names only the rows that have gradients; values move as by the textbook's dense steps."""
+    rng = np.random.default_rng(5)
+    value = rng.standard_normal((40, 3)).astype(np.float32)
+    want, mean, square = value.astype(float), np.zeros((40, 3)), np.zeros((40, 3))
+    adam = language_model.Adam(value.shape)
+    for t in range(1, 2 * adam.PERIOD + 20):
+        rows = np.unique(rng.integers(0, 12 if t % 5 else 40, 6))
+        dense = np.zeros((40, 3))
+        dense[rows] = rng.standard_normal((len(rows), 3)) * 1e-2
+        adam.learn(rows, (dense[rows] * 8).astype(np.float32), 1 / 8)
+        adam.move(value, 0.008)
+        mean, square = 0.9 * mean + 0.1 * dense, 0.99 * square + 0.01 * dense * dense
+        want -= 0.008 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * mean / (np.sqrt(square) + 1e-6)
+    assert value == pytest.approx(want, abs=1e-4)
+
+
+def test_a_window_gives_gradients_of_the_symbols_read_alone():
+    _, network = small_network()
+    lanes = language_model.Lanes(np.array([5, 9, 9, 7, 30, 6]), np.array([4, 2]), 2)
+    state, real = np.zeros((2, 5), dtype=np.float32), lanes.text >= 0
+    found = [
+        network._window_gradients(lanes.inputs, lanes.fresh, lanes.targets, real, state, network.tables(), bounded)
+        for bounded in (True, False)
+    ]
+    assert found[0][0].tolist() == sorted({0, *lanes.inputs[real].tolist()}) and found[0][1].shape == (len(found[0][0]), 15)
+    for a, b in zip(*found):
+        assert np.allclose(a, b, atol=1e-5)

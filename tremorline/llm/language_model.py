@@ -30,7 +30,7 @@ VALIDATION = 32
 STRIDES = (0.0, 0.1, 0.3, 1.0)
 BLOCK, FAN_IN = 8192, 64  # parameters sent together, tasks whose changes are added up together
 LANES, STEPS, RATE = 48, 32, 0.008
-SCORING_LANES, SCORING_STEPS = 512, 32
+SCORING_LANES, SCORING_STEPS = 128, 32
 
 
 def held_out() -> Column:
@@ -79,6 +79,7 @@ class Vocabulary:
         symbol = np.arange(len(words)) + 2
         self.symbol = np.where(symbol < CLASSES * WIDTH, symbol, OTHER)[rank]
         inside = self.symbol != OTHER
+        self.inside, self.inside_symbol = self.words[inside], self.symbol[inside]
         self.other_tokens = tokens - ends - int(self.counts[inside].sum())
         self.other_distinct = distinct - (ends > 0) - int(inside.sum())
         mass = np.full(CLASSES * WIDTH, 0.1)
@@ -96,6 +97,12 @@ class Vocabulary:
         known = self.words[at] == words
         return known, np.where(known, self.counts[at], 0), np.where(known, self.symbol[at], OTHER)
 
+    def symbols(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.inside):
+            return np.full(len(words), OTHER)
+        at = np.minimum(np.searchsorted(self.inside, words), len(self.inside) - 1)
+        return np.where(self.inside[at] == words, self.inside_symbol[at], OTHER)
+
 
 def learn_vocabulary(training: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     """Sizes over all training documents; the driver receives the ``frequent`` most frequent words."""
@@ -149,37 +156,78 @@ class Lanes:
             yield int((self.load > a).sum()), slice(a, min(a + steps, self.targets.shape[1]))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def exponentials(logit: np.ndarray, rows: np.ndarray, wanted: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials in place; returns the wanted logit of every row and the row sums. Rows are centred unless bounded."""
+def centred(logit: np.ndarray, bounded: bool) -> np.ndarray:
+    """Rows shifted, in place, to logits that have exponentials; bounded ones have them as they are."""
     if not bounded:
         logit -= logit.max(1, keepdims=True)
-    chosen = logit[rows, wanted]
-    np.exp(logit, out=logit)
-    return chosen, logit @ np.ones(logit.shape[1], dtype=logit.dtype)
-
-
-def adam(value: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, pace: float) -> None:
-    """One step in place; ``g`` is used up."""
-    square = g * g
-    square *= np.float32(0.01)
-    v *= np.float32(0.99)
-    v += square
-    g *= np.float32(0.1)
-    m *= np.float32(0.9)
-    m += g
-    np.sqrt(v, out=square)
-    square += np.float32(1e-6)
-    np.divide(m, square, out=square)
-    square *= np.float32(pace)
-    value -= square
+    return logit
+
+
+def segments(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    new = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def segment_sums(rows: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[order]`` from every ``first`` to the next."""
+    out = rows.take(order.take(first), axis=0)
+    size = np.diff(first, append=len(order))
+    many = np.flatnonzero(size > 1)  # most symbols of a window occur once
+    if len(many):
+        ends = np.cumsum(size[many])
+        out[many] = np.add.reduceat(rows.take(order[np.repeat(size > 1, size)], axis=0), ends - size[many], axis=0)
+    return out
+
+
+class Adam:
+    """Moments divided by their decay, which is applied to all of them every PERIOD steps: what has no gradient in a step
+    needs no work on its moments. ``root`` is the square root of the second moment."""
+
+    PERIOD, BLOCK = 64, 16384
+
+    def __init__(self, shape: tuple):
+        self.mean, self.square, self.root = (np.zeros(shape, dtype=np.float32) for _ in range(3))
+        self.t = 0
+
+    def learn(self, rows: np.ndarray | None, g: np.ndarray, clip: float) -> None:
+        """A step with the gradients ``clip * g`` of some rows, those of all others being 0, or of all; ``g`` is used up."""
+        if self.t and self.t % self.PERIOD == 0:
+            self.mean *= np.float32(0.9**self.PERIOD)
+            self.mean[np.abs(self.mean) < 1e-30] = 0
+            self.square *= np.float32(0.99**self.PERIOD)
+            np.sqrt(self.square, out=self.root)
+        since = self.t % self.PERIOD + 1
+        self.t += 1
+        square = g * g
+        square *= np.float32(0.01 * clip * clip / 0.99**since)
+        g *= np.float32(0.1 * clip / 0.9**since)
+        if rows is None:
+            self.square += square
+            np.sqrt(self.square, out=self.root)
+            self.mean += g
+        else:
+            square += self.square.take(rows, axis=0)
+            self.square[rows] = square
+            self.root[rows] = np.sqrt(square, out=square)
+            g += self.mean.take(rows, axis=0)
+            self.mean[rows] = g
+
+    def move(self, value: np.ndarray, rate: float) -> None:
+        """The values' step, in place, for pieces that stay in the cache."""
+        since = (self.t - 1) % self.PERIOD + 1
+        grown = 0.99 ** (-since / 2)
+        pace = np.float32(rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t) * 0.9**since * grown)
+        value, mean, root = value.reshape(-1), self.mean.reshape(-1), self.root.reshape(-1)
+        least, work = np.float32(1e-6 * grown), np.empty(min(len(value), self.BLOCK), dtype=np.float32)
+        for a in range(0, len(value), self.BLOCK):
+            part = slice(a, a + self.BLOCK)
+            step = work[: len(value) - a]
+            np.add(root[part], least, out=step)
+            np.divide(mean[part], step, out=step)
+            step *= pace
+            value[part] -= step
 
 
 class Network:
@@ -213,147 +261,229 @@ class Network:
             at += size
         return self
 
-    def bounded(self) -> bool:
-        """Whether the logits of all states (which are between -1 and 1) have exponentials in single precision."""
-        classes, words = np.abs(self.C).sum(0) + np.abs(self.c), np.abs(self.W).sum(1) + np.abs(self.w)
-        return bool(max(classes.max(), words.max()) < 60)
-
-    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after every symbol, (steps, lanes, hidden), from the states ``h`` before the window."""
-        k = h.shape[1]
-        inputs, fresh = np.ascontiguousarray(inputs.T), np.ascontiguousarray(fresh.T)
-        starts = fresh.any(1)
-        out = np.empty((len(inputs), len(h), k), dtype=np.float32)
-        for t in range(len(inputs)):
-            if starts[t]:
-                h = np.where(fresh[t, :, None], h.dtype.type(0), h)
-            x = self.X[inputs[t]]
-            a = h @ self.U
-            gates = sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            n = r * a[:, 2 * k :]
-            n += x[:, 2 * k :]
-            np.tanh(n, out=n)
-            if kept is not None:
-                kept.append((h, z, r, n, a[:, 2 * k :]))
-            h = h - n
-            h *= z
-            h += n
-            out[t] = h
-        return out
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Classes, (hidden + 1, class), and words of a class, (class, word, hidden + 1); the last value is the constant."""
+        words = np.concatenate([self.W.transpose(0, 2, 1), self.w[:, :, None]], 2)
+        return np.vstack([self.C, self.c]), np.ascontiguousarray(words)
 
-    def log_probabilities(
-        self, h: np.ndarray, targets: np.ndarray, back: dict | None = None, bounded: bool = False
-    ) -> np.ndarray:
-        """Natural logarithms for rows of states; with ``back`` also the gradients of their negative sum."""
-        group, word = np.divmod(targets, WIDTH)
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        h, group, word = h[order], group[order], word[order]
-        rows = np.arange(len(h))
-        logit = h @ self.C
-        logit += self.c
-        out, total = exponentials(logit, rows, group, bounded)
-        if back is not None:
-            logit /= total[:, None]
-            logit[rows, group] -= 1
-            back["C"], back["c"] = h.T @ logit, logit.sum(0)
-            dh = logit @ self.C.T
-            back["W"], back["w"] = np.zeros_like(self.W), np.zeros_like(self.w)
-        cut = np.searchsorted(group, np.arange(CLASSES + 1))
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            s = slice(cut[k], cut[k + 1])
-            part = h[s] @ self.W[k]
-            part += self.w[k]
-            at = rows[: len(part)]
-            chosen, sums = exponentials(part, at, word[s], bounded)
-            out[s] += chosen
-            total[s] *= sums
-            if back is not None:
-                part /= sums[:, None]
-                part[at, word[s]] -= 1
-                back["W"][k], back["w"][k] = h[s].T @ part, part.sum(0)
-                dh[s] += part @ self.W[k].T
+    def with_tables(self, classes: np.ndarray, words: np.ndarray) -> Network:
+        self.C, self.c = classes[:-1].copy(), classes[-1].copy()
+        self.W, self.w = np.ascontiguousarray(words[:, :, :-1].transpose(0, 2, 1)), words[:, :, -1].copy()
+        return self
+
+    @staticmethod
+    def room(classes: np.ndarray, words: np.ndarray) -> float:
+        """What is left to the logits of all states (which are between -1 and 1) until their exponentials are too large for
+        single precision."""
+        return 60.0 - float(max(np.abs(classes).sum(0).max(), np.abs(words).sum(2).max()))
+
+    def states(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, kept: dict | None = None) -> np.ndarray:
+        """States after every symbol, (steps, lanes, hidden), from the states ``h`` before the window.
+
+        A step's values lie as (value, lane), so that those of one gate are one piece of memory. ``kept`` receives what the
+        gradients need.
+        """
+        (lanes, steps), k, kind = inputs.shape, h.shape[1], self.X.dtype
+        starts = np.ascontiguousarray(fresh.T)
+        start = starts.any(1).tolist()
+        x = self.X.take(inputs.T, axis=0).transpose(0, 2, 1)
+        gates = np.negative(x[:, : 2 * k], out=np.empty((steps, 2 * k, lanes), dtype=kind))
+        n = np.ascontiguousarray(x[:, 2 * k :])
+        U = np.ascontiguousarray(self.U.T)
+        U[: 2 * k] *= -1
+        a = np.empty((steps if kept is not None else 1, 3 * k, lanes), dtype=kind)
+        before = np.empty((steps, k, lanes), dtype=kind) if kept is not None else None
+        out = np.empty((steps, k, lanes), dtype=kind)
+        h = np.ascontiguousarray(h.T, dtype=kind)
+        for t in range(steps):
+            if start[t]:
+                h = np.where(starts[t], kind.type(0), h)
+            if before is not None:
+                before[t] = h
+            now, gate, new, to = a[t if kept is not None else 0], gates[t], n[t], out[t]
+            np.dot(U, h, out=now)
+            gate += now[: 2 * k]
+            np.exp(gate, out=gate)
+            gate += 1  # the reciprocals of the gates
+            new += np.divide(now[2 * k :], gate[k:], out=to)
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=to)
+            to /= gate[:k]
+            to += new
+            h = to
+        if kept is not None:
+            np.reciprocal(gates, out=gates)
+            kept |= {"before": before, "z": gates[:, :k], "r": gates[:, k:], "n": n, "a": a[:, 2 * k :]}
+        return out.transpose(0, 2, 1)
+
+    def log_probabilities(self, h: np.ndarray, targets: np.ndarray, tables: tuple | None = None, bounded: bool = False) -> np.ndarray:
+        """Natural logarithms for rows of states."""
+        classes, words = tables or self.tables()
+        order = np.argsort(targets.astype(np.uint16), kind="stable")
+        symbol = targets[order]
+        h = np.concatenate([h.take(order, axis=0), np.ones((len(h), 1), dtype=h.dtype)], 1)
+        rows, one = np.arange(len(h)), np.ones(WIDTH, dtype=h.dtype)
+        logit = centred(h @ classes, bounded)
+        out = logit[rows, symbol // WIDTH]
+        out -= np.log(np.exp(logit, out=logit) @ np.ones(CLASSES, dtype=h.dtype))
+        logit = np.empty((len(h), WIDTH), dtype=np.result_type(h, words))
+        cut = np.searchsorted(symbol, np.arange(CLASSES + 1) * WIDTH).tolist()
+        for k in range(CLASSES):
+            if cut[k] < cut[k + 1]:
+                np.dot(h[cut[k] : cut[k + 1]], words[k].T, out=logit[cut[k] : cut[k + 1]])
+        centred(logit, bounded)
+        out += logit[rows, symbol % WIDTH]
+        out -= np.log(np.exp(logit, out=logit) @ one)
         unsorted = np.empty_like(out)
-        unsorted[order] = out - np.log(total)
-        if back is not None:
-            back["h"] = np.empty_like(dh)
-            back["h"][order] = dh
+        unsorted[order] = out
         return unsorted
 
-    def gradients(self, inputs, fresh, targets, real, h) -> tuple[dict, np.ndarray]:
-        """Gradients per symbol of one window (truncated: the states before it are constants), and the last states."""
-        kept: list = []
+    @staticmethod
+    def _output_gradients(
+        states: np.ndarray, at: np.ndarray, symbol: np.ndarray, classes: np.ndarray, words: np.ndarray, bounded: bool
+    ) -> tuple:
+        """Gradients of the negative sum of the log probabilities of ascending symbols, for the states at their places, with a
+        constant 1 behind.
+
+        Of the states (the last value means nothing), of the classes and of the words of the classes.
+        """
+        first = segments(symbol)
+        found = symbol[first]
+        sums = segment_sums(states, at, first)  # of the states of every symbol found
+        h = states.take(at, axis=0)
+        first = segments(found // WIDTH)
+        p = centred(h @ classes, bounded)
+        np.exp(p, out=p)
+        scale = np.reciprocal(p @ np.ones(CLASSES, dtype=p.dtype))[:, None]
+        dh = p @ classes.T
+        dh *= scale
+        d_classes = (h * scale).T @ p
+        d_classes[:, found[first] // WIDTH] -= np.add.reduceat(sums, first, axis=0).T
+        cut = np.searchsorted(symbol, np.arange(CLASSES + 1) * WIDTH).tolist()
+        runs = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
+        for k, s in runs:
+            np.dot(h[s], words[k].T, out=p[s])
+        np.exp(centred(p, bounded), out=p)
+        scale = np.reciprocal(p @ np.ones(WIDTH, dtype=p.dtype))[:, None]
+        scaled = h * scale
+        part, d_words = np.empty_like(dh), np.zeros_like(words)
+        for k, s in runs:
+            np.dot(p[s].T, scaled[s], out=d_words[k])
+            np.dot(p[s], words[k], out=part[s])
+        flat = words.reshape(CLASSES * WIDTH, -1)
+        part *= scale
+        dh += part
+        dh -= classes.T.take(symbol // WIDTH, axis=0)
+        dh -= flat.take(symbol, axis=0)
+        d_words.reshape(flat.shape)[found] -= sums
+        return dh, d_classes, d_words
+
+    def _window_gradients(self, inputs, fresh, targets, real, h, tables, bounded) -> tuple:
+        """Gradients of one window (truncated: the states before it are constants), summed over its symbols.
+
+        (symbols read, gradients of their rows of X, those of U, of the tables of classes and words, last states, symbols).
+        """
+        kept: dict = {}
         states = self.states(inputs, fresh, h, kept)
-        steps, lanes, k = states.shape
-        use = real.T.ravel()
-        back: dict = {}
-        self.log_probabilities(states.reshape(-1, k)[use], targets.T.ravel()[use], back, self.bounded())
-        dh = np.zeros((steps * lanes, k), dtype=np.float32)
-        dh[use] = back.pop("h")
-        dh = dh.reshape(steps, lanes, k)
-        before, z, r, n, a = (np.stack(x) for x in zip(*kept))
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * z * (1 - z)
-        to_r = a * r * (1 - r)
-        dn_all, da_all = np.empty_like(n), np.empty((steps, lanes, 3 * k), dtype=n.dtype)
-        carry = np.zeros((lanes, k), dtype=np.float32)
-        running = ~np.ascontiguousarray(fresh.T)[:, :, None]
+        (steps, lanes, k), kind = states.shape, self.X.dtype
+        rows = np.ones((steps, lanes, k + 1), dtype=kind)
+        rows[:, :, :k] = states
+        symbol = targets.T.ravel()
+        at = np.flatnonzero(real.T)
+        at = at[np.argsort(symbol[at].astype(np.uint16), kind="stable")]
+        found, d_classes, d_words = self._output_gradients(rows.reshape(-1, k + 1), at, symbol[at], *tables, bounded)
+        dh = np.zeros((steps * lanes, k + 1), dtype=kind)
+        dh[at] = found
+        d = np.ascontiguousarray(dh.reshape(steps, lanes, k + 1)[:, :, :k].transpose(0, 2, 1))
+        before, z, r, n, a = kept.values()
+        to_n = n * n
+        np.subtract(1, to_n, out=to_n)
+        one_z = 1 - z
+        to_n *= one_z
+        to = np.empty((steps, 3, k, lanes), dtype=kind)  # to the gates, as they are added to U times the state
+        np.subtract(before, n, out=to[:, 0])
+        to[:, 0] *= z
+        to[:, 0] *= one_z
+        np.multiply(to_n, r, out=to[:, 2])
+        np.subtract(1, r, out=to[:, 1])
+        to[:, 1] *= a
+        to[:, 1] *= to[:, 2]
+        running = ~np.ascontiguousarray(fresh.T)
+        start = (~running).any(1).tolist()
+        carry, back = np.zeros((k, lanes), dtype=kind), np.empty((k, lanes), dtype=kind)
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + carry
-            dn, da = dn_all[t], da_all[t]
-            np.multiply(d, to_n[t], out=dn)
-            np.multiply(d, to_z[t], out=da[:, :k])
-            np.multiply(dn, to_r[t], out=da[:, k : 2 * k])
-            np.multiply(dn, r[t], out=da[:, 2 * k :])
-            d *= z[t]
-            d += da @ self.U.T
-            d *= running[t]
-            carry = d
-        dU = before.reshape(-1, k).T @ da_all.reshape(-1, 3 * k)
-        dx = da_all.reshape(-1, 3 * k)
-        dx[:, 2 * k :] = dn_all.reshape(-1, k)
+            d[t] += carry
+            np.multiply(d[t], to[t], out=to[t])
+            np.multiply(d[t], z[t], out=carry)
+            carry += np.dot(self.U, to[t].reshape(3 * k, lanes), out=back)
+            if start[t]:
+                carry *= running[t]
+        dx = np.empty((steps, lanes, 3 * k), dtype=kind)
+        dx[:] = to.reshape(steps, 3 * k, lanes).transpose(0, 2, 1)
+        dU = np.ascontiguousarray(before.transpose(0, 2, 1)).reshape(-1, k).T @ dx.reshape(-1, 3 * k)
+        d *= to_n
+        dx[:, :, 2 * k :] = d.transpose(0, 2, 1)
         symbol = inputs.T.ravel()
         order = np.argsort(symbol.astype(np.uint16), kind="stable")
         symbol = symbol[order]
-        first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        first = segments(symbol)
+        dX = segment_sums(dx.reshape(-1, 3 * k), order, first)
+        return symbol[first], dX, dU, d_classes, d_words, states[-1], len(at)
+
+    def gradients(self, inputs, fresh, targets, real, h) -> tuple[dict, np.ndarray]:
+        """Gradients per symbol of one window, and the last states."""
+        tables = self.tables()
+        symbols, rows, dU, classes, words, last, n = self._window_gradients(
+            inputs, fresh, targets, real, h, tables, self.room(*tables) > 0
+        )
         dX = np.zeros_like(self.X)
-        dX[symbol[first]] = np.add.reduceat(dx[order], first)
-        scale = np.float32(1.0 / max(int(use.sum()), 1))
-        grads = {"X": dX, "U": dU} | back
-        for g in grads.values():
-            g *= scale
-        return grads, states[-1]
+        dX[symbols] = rows
+        grads = {"X": dX, "U": dU, "C": classes[:-1], "c": classes[-1], "W": words[:, :, :-1].transpose(0, 2, 1), "w": words[:, :, -1]}
+        return {name: np.ascontiguousarray(g) / max(n, 1) for name, g in grads.items()}, last
 
     def train(self, lanes: Lanes, moments: dict, steps: int = STEPS, rate: float = RATE) -> None:
         """Truncated backpropagation over the lanes, states carried from window to window; Adam."""
-        h = np.zeros((len(lanes.load), self.U.shape[0]), dtype=np.float32)
+        tables = self.tables()
+        shapes = [self.U.shape, *(x.shape for x in tables)]
+        cuts = np.cumsum([0, *(int(np.prod(shape)) for shape in shapes)])
+        flat = np.concatenate([self.U.ravel(), *(x.ravel() for x in tables)])
+        self.U, *tables = (flat[a:b].reshape(shape) for a, b, shape in zip(cuts, cuts[1:], shapes))
+        read, others = moments.setdefault("X", Adam(self.X.shape)), moments.setdefault("others", Adam(flat.shape))
+        # no value moves more than 2.4 times the rate in a step: mean < 2.35 root, as (0.9 * 0.9 / 0.99) ** i adds up to 5.5
+        most = 2.4 * rate * (self.U.shape[0] + 1)
+        h, room = np.zeros((len(lanes.load), self.U.shape[0]), dtype=np.float32), 0.0
         for running, window in lanes.windows(steps):
+            room = room if room > 0 else self.room(*tables)
             real = lanes.text[:running, window] >= 0
-            grads, last = self.gradients(
-                lanes.inputs[:running, window], lanes.fresh[:running, window], lanes.targets[:running, window], real, h[:running]
-            )
+            symbols, rows, *found, last, n = self._window_gradients(
+                lanes.inputs[:running, window], lanes.fresh[:running, window], lanes.targets[:running, window], real, h[:running],
+                tables, room > 0,
+            )
             h[:running] = last
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
-            clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            moments["t"] = t = moments.get("t", 0) + 1
-            pace = rate * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
-            for name, g in grads.items():
-                m, v = moments.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
-                g *= clip
-                adam(getattr(self, name), g, m, v, pace)
+            g = np.concatenate([x.ravel() for x in found])
+            norm = np.sqrt(float(np.vdot(rows, rows)) + float(np.vdot(g, g))) / max(n, 1)
+            clip = min(1.0, 1.0 / max(norm, 1e-9)) / max(n, 1)
+            read.learn(symbols, rows, clip)
+            read.move(self.X, rate)
+            others.learn(None, g, clip)
+            others.move(flat, rate)
+            room -= most
+        self.U = self.U.copy()
+        self.with_tables(*tables)
 
     def score(self, lanes: Lanes, texts: int, steps: int = SCORING_STEPS) -> np.ndarray:
         """Natural log probability of every text."""
         out = np.zeros(texts)
         h = np.zeros((len(lanes.load), self.U.shape[0]), dtype=np.float32)
-        bounded = self.bounded()
+        tables = self.tables()
+        bounded = self.room(*tables) > 0
         for running, window in lanes.windows(steps):
             states = self.states(lanes.inputs[:running, window], lanes.fresh[:running, window], h[:running])
             h[:running] = states[-1]
             text = lanes.text[:running, window].T.ravel()
-            use = text >= 0
+            use = np.flatnonzero(text >= 0)
             targets = lanes.targets[:running, window].T.ravel()[use]
-            found = self.log_probabilities(states.reshape(-1, states.shape[2])[use], targets, bounded=bounded)
+            found = self.log_probabilities(states.reshape(-1, states.shape[2])[use], targets, tables, bounded)
             out += np.bincount(text[use], found, texts)
         return out
 
@@ -362,7 +492,7 @@ def _symbols(vocabulary: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.n
     """Symbols of all texts one after the other, and words per text."""
     symbols, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for chunk in chunks(column):
-        symbols.append(vocabulary.look_up(chunk.words())[2])
+        symbols.append(vocabulary.symbols(chunk.words()))
         counts.append(chunk.counts)
     return np.concatenate(symbols), np.concatenate(counts)
 
